@@ -1,8 +1,10 @@
 """Queries of the corpus operators by name, and DuckDB SQL for those that SQL can express."""
 
 from brindle.llm.quality import op6_quality_rules
+from brindle.llm.simhash import op5_simhash
 
 QUERIES = {
+    "op5_simhash": op5_simhash,
     "op6_quality_rules": op6_quality_rules,
 }
 
