@@ -1,10 +1,12 @@
 """Queries of the corpus operators by name, and DuckDB SQL for those that SQL can express."""
 
+from brindle.llm.mixing import op1_mixing
 from brindle.llm.packing import op8_packing
 from brindle.llm.quality import op6_quality_rules
 from brindle.llm.simhash import op5_simhash
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op5_simhash": op5_simhash,
     "op6_quality_rules": op6_quality_rules,
     "op8_packing": op8_packing,
