@@ -1,15 +1,22 @@
 """Queries of the corpus operators by name, and DuckDB SQL for those that SQL can express."""
 
+from brindle.llm.html import op7_html_extraction
 from brindle.llm.mixing import op1_mixing
 from brindle.llm.packing import op8_packing
 from brindle.llm.quality import op6_quality_rules
 from brindle.llm.simhash import op5_simhash
+from brindle.llm.topk import ORACLE as TOP_K_SQL
+from brindle.llm.topk import op3_exact_top_k
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op3_exact_top_k": op3_exact_top_k,
     "op5_simhash": op5_simhash,
     "op6_quality_rules": op6_quality_rules,
+    "op7_html_extraction": op7_html_extraction,
     "op8_packing": op8_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_top_k": TOP_K_SQL,
+}
