@@ -7,6 +7,8 @@ from brindle.llm.quality import op6_quality_rules
 from brindle.llm.simhash import op5_simhash
 from brindle.llm.topk import ORACLE as TOP_K_SQL
 from brindle.llm.topk import op3_exact_top_k
+from brindle.llm.warc import ORACLE as WARC_SQL
+from brindle.llm.warc import op10_warc
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -15,8 +17,10 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_html_extraction": op7_html_extraction,
     "op8_packing": op8_packing,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_top_k": TOP_K_SQL,
+    "op10_warc": WARC_SQL,
 }
