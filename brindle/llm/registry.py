@@ -1,6 +1,7 @@
 """Queries of the corpus operators by name, and DuckDB SQL for those that SQL can express."""
 
 from brindle.llm.html import op7_html_extraction
+from brindle.llm.langid import op2_language_id
 from brindle.llm.mixing import op1_mixing
 from brindle.llm.packing import op8_packing
 from brindle.llm.quality import op6_quality_rules
@@ -12,6 +13,7 @@ from brindle.llm.warc import op10_warc
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_language_id": op2_language_id,
     "op3_exact_top_k": op3_exact_top_k,
     "op5_simhash": op5_simhash,
     "op6_quality_rules": op6_quality_rules,
