@@ -6,6 +6,7 @@ from brindle.llm.mixing import op1_mixing
 from brindle.llm.packing import op8_packing
 from brindle.llm.quality import op6_quality_rules
 from brindle.llm.simhash import op5_simhash
+from brindle.llm.suffix import op9_suffix_array
 from brindle.llm.topk import ORACLE as TOP_K_SQL
 from brindle.llm.topk import op3_exact_top_k
 from brindle.llm.warc import ORACLE as WARC_SQL
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_html_extraction": op7_html_extraction,
     "op8_packing": op8_packing,
+    "op9_suffix_array": op9_suffix_array,
     "op10_warc": op10_warc,
 }
 
