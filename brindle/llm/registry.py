@@ -11,11 +11,13 @@ from brindle.llm.topk import ORACLE as TOP_K_SQL
 from brindle.llm.topk import op3_exact_top_k
 from brindle.llm.warc import ORACLE as WARC_SQL
 from brindle.llm.warc import op10_warc
+from brindle.llm.windows import op4_compact_windows
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
     "op3_exact_top_k": op3_exact_top_k,
+    "op4_compact_windows": op4_compact_windows,
     "op5_simhash": op5_simhash,
     "op6_quality_rules": op6_quality_rules,
     "op7_html_extraction": op7_html_extraction,
