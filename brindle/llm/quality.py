@@ -157,3 +157,40 @@ def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     q = quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = (*COUNTS, "base_failed", "kept")
     return q.select("doc_id", *[F.col(f"quality.{n}").alias(n) for n in names])
+
+
+_quoted = ", ".join("'" + p + "'" for p in BOILERPLATE)
+_edge = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_terminal = TERMINAL.replace("'", "''")
+_words = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+ORACLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, {_words.format("t")} AS words FROM d),
+l AS (
+  SELECT doc_id, line, count(*) AS n, length(trim(line, {_edge})) AS chars
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE trim(line, {_edge}) <> '' GROUP BY doc_id, line
+),
+j AS (
+  SELECT *, len(list_filter([{_quoted}], lambda p: contains(lower(line), p))) > 0
+    OR NOT contains('{_terminal}', right(rtrim(line, {_edge}), 1))
+    OR length(line) - length(regexp_replace(line, '[{NAV_MARKS}]', '', 'g')) >= 3
+    OR 2 * (length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g'))) > len({_words.format("line")})
+    OR (NOT regexp_matches(line, '[a-z]') AND regexp_matches(line, '[A-Z]') AND len({_words.format("line")}) >= {SHOUT_WORDS}) AS fails
+  FROM l
+),
+s AS (SELECT doc_id, sum(n - 1) AS dup, sum(CASE WHEN fails THEN n ELSE n - 1 END * chars) AS lost, sum(n * chars) AS total FROM j GROUP BY doc_id),
+p AS (SELECT doc_id, unnest(words) AS a, generate_subscripts(words, 1) AS i FROM w),
+x AS (SELECT doc_id, i, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM x WHERE c IS NOT NULL),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY doc_id),
+q AS (
+  SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost, 0) AS BIGINT) AS lost_chars, coalesce(total, 0) AS total
+  FROM w LEFT JOIN s USING (doc_id) LEFT JOIN r USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_chars,
+  n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND 100 * lost_chars <= {MAX_LOST_PERCENT} * total AS kept
+FROM q
+"""

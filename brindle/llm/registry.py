@@ -4,6 +4,7 @@ from brindle.llm.html import op7_html_extraction
 from brindle.llm.langid import op2_language_id
 from brindle.llm.mixing import op1_mixing
 from brindle.llm.packing import op8_packing
+from brindle.llm.quality import ORACLE as QUALITY_SQL
 from brindle.llm.quality import op6_quality_rules
 from brindle.llm.simhash import op5_simhash
 from brindle.llm.suffix import op9_suffix_array
@@ -28,5 +29,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_top_k": TOP_K_SQL,
+    "op6_quality_rules": QUALITY_SQL,
     "op10_warc": WARC_SQL,
 }
