@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH_ROWS = 512
+BATCH_ROWS = 128
 
 
 def tune(spark: SparkSession) -> None:
