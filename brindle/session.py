@@ -763,6 +763,28 @@ class Session:
         """Delete folders of superseded versions that this session's transaction doesn't need."""
         return self.store.vacuum([self.transaction.base, self.transaction.state] if self.transaction else [])
 
+    def size(self) -> int:
+        """Bytes of the store's files."""
+        return files.bytes_in(self.spark, self.store.root)
+
+    def create_path_index(self, name: str, prefix: str, path: str) -> int:
+        """Name a JSON path of the keys under a prefix. It is kept as a definition: scans prune by column and file statistics."""
+
+        def action() -> int:
+            indexes = self.current.state["indexes"]
+            if self.key(name) in indexes:
+                return 0
+            indexes[self.key(name)] = {"table": prefix.rstrip("*").rstrip(":"), "on": path, "unique": False}
+            return 1
+
+        return self.within(action)
+
+    def drop_path_index(self, name: str) -> int:
+        return self.within(lambda: int(self.current.state["indexes"].pop(self.key(name), None) is not None))
+
+    def path_indexes(self) -> dict:
+        return self.within(lambda: dict(self.current.state["indexes"]))
+
     def flush(self) -> None:
         """Delete all data."""
         if self.transaction is not None:
