@@ -150,40 +150,94 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_windows(contexts: list[bytes], places: list[tuple[int, int]], length: int) -> list[np.ndarray]:
-    """For each context the starts (in it) of strings of ``length`` bytes that also start at another place.
+def _by_suffixes(strings: list[bytes], places: list[tuple[int, int]], length: int) -> list[np.ndarray]:
+    """For each string the starts (in it) of runs of ``length`` bytes that also start at another place.
 
-    places: class and position of each context's first byte; contexts that overlap in a text hold the same
-    places, which count once. Neighbours in the suffix array are compared by their first ``length`` bytes.
+    Neighbours in the suffix array are compared by their first ``length`` bytes.
     """
-    sizes = np.array([len(c) for c in contexts], np.int64)
+    sizes = np.array([len(c) for c in strings], np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    text = np.frombuffer(b"".join(contexts), np.uint8)
-    owner = np.repeat(np.arange(len(contexts)), sizes)
+    text = np.frombuffer(b"".join(strings), np.uint8)
+    owner = np.repeat(np.arange(len(strings)), sizes)
     inside = np.arange(len(text)) - begins[owner]
     order = suffix_array(text.astype(np.int64))
     order = order[inside[order] + length <= sizes[owner[order]]]
-    if len(order) < 2:
-        return [np.empty(0, np.int64)] * len(contexts)
-    same = np.empty(len(order) - 1, bool)
+    same = np.zeros(max(0, len(order) - 1), bool)
+    span = np.arange(length)
     for at in range(0, len(same), 4096):
-        a, b = order[at : at + 4096], order[at + 1 : at + 4097]
-        a = a[: len(b)]
-        span = np.arange(length)
-        same[at : at + len(a)] = (text[a[:, None] + span] == text[b[:, None] + span]).all(axis=1)
-    run = np.concatenate([[0], np.cumsum(~same)])
+        b = order[at + 1 : at + 4097]
+        a = order[at : at + len(b)]
+        same[at : at + len(b)] = (text[a[:, None] + span] == text[b[:, None] + span]).all(axis=1)
+    run = np.concatenate([[0], np.cumsum(~same)])[: len(order)]
     classes = np.array([p[0] for p in places], np.int64)[owner[order]]
     starts = np.array([p[1] for p in places], np.int64)[owner[order]] + inside[order]
     by = np.lexsort((starts, classes, run))
     changes = (np.diff(run[by]) == 0) & ((np.diff(classes[by]) != 0) | (np.diff(starts[by]) != 0))
-    several = np.zeros(run[-1] + 1, bool)
+    several = np.zeros(len(order) + 1, bool)
     several[run[by][1:][changes]] = True
-    hits = order[several[run]]
     hit = np.zeros(len(text), bool)
-    hit[hits] = True
+    hit[order[several[run]]] = True
     return [np.flatnonzero(hit[b : b + n]) for b, n in zip(begins.tolist(), sizes.tolist(), strict=True)]
 
 
+def repeated_windows(contexts: list[bytes], places: list[tuple[int, int]], length: int) -> list[np.ndarray]:
+    """For each context the starts (in it) of strings of ``length`` bytes that also start at another place.
+
+    places: class and position of each context's first byte; contexts that overlap in a text hold the same
+    places, which count once. Before anything is sorted, strings are named by hash. Those whose name occurs
+    once can't repeat and are dropped; stretches of the others that are equal byte for byte repeat. The suffix
+    array decides on all names left, each from two places.
+    """
+    sizes = np.array([len(c) for c in contexts], np.int64)
+    out = [np.empty(0, np.int64)] * len(contexts)
+    text = np.frombuffer(b"".join(contexts), np.uint8)
+    if len(text) < length:
+        return out
+    begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    owner = np.repeat(np.arange(len(contexts)), sizes)
+    inside = np.arange(len(text)) - begins[owner]
+    valid = np.flatnonzero(inside + length <= sizes[owner])
+    _, names, counts = np.unique(gram_hashes(text.astype(np.uint64), length)[valid], return_inverse=True, return_counts=True)
+    again = counts[names] > 1
+    at, names = valid[again], names[again]
+    if not len(at):
+        return out
+    home = owner[at]
+    classes, starts = np.array([p[0] for p in places], np.int64)[home], np.array([p[1] for p in places], np.int64)[home] + inside[at]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(home) != 0)])).tolist()
+    stretches: dict[bytes, list[int]] = {}
+    for f, e in zip(first, [*first[1:], len(at)], strict=True):
+        stretches.setdefault(text[at[f] : at[e - 1] + length].tobytes(), []).append(f)
+    repeats = np.zeros(len(counts), bool)
+    single: list[tuple[int, int]] = []
+    for s, members in stretches.items():
+        own = slice(members[0], members[0] + len(s) - length + 1)
+        if len({(classes[f], starts[f]) for f in members}) > 1:
+            repeats[names[own]] = True
+        else:
+            single.append((own.start, own.stop))
+    # What is still open is sorted, but no string at more than two places.
+    seen, seen_class, seen_start = np.zeros(len(counts), np.int8), np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    chosen = []
+    for f, e in single:
+        open_ = f + np.flatnonzero(~repeats[names[f:e]] & (seen[names[f:e]] < 2))
+        known = seen[names[open_]] == 1
+        open_ = open_[~known | (seen_class[names[open_]] != classes[open_]) | (seen_start[names[open_]] != starts[open_])]
+        if len(open_):
+            own = names[open_]
+            seen_class[own], seen_start[own] = classes[open_], starts[open_]
+            seen[own] += 1
+            chosen.append((int(open_[0]), int(open_[-1]) + 1))
+    if chosen:
+        strings = [text[at[f] : at[e - 1] + length].tobytes() for f, e in chosen]
+        for (f, _), hit in zip(chosen, _by_suffixes(strings, [(classes[f], starts[f]) for f, _ in chosen], length), strict=True):
+            repeats[names[f + hit]] = True
+    hits = repeats[names]
+    cut = np.searchsorted(home[hits], np.arange(len(contexts) + 1))
+    found = inside[at[hits]]
+    return [found[cut[i] : cut[i + 1]] for i in range(len(contexts))]
+
+
 def spans_of(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Covered stretches of strings of ``length`` bytes that begin at ``starts`` (ascending)."""
     if not len(starts):

@@ -81,3 +81,17 @@ def test_suffix_array():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert suffix.remove_repeats(df).count() == 0
+
+
+def test_bins_by_suffixes_alone():
+    rng = random.Random(5)
+    text = "".join(rng.choices("ab", k=300)).encode()
+    contexts = [text[i : i + rng.randrange(5, 60)] for i in range(0, 260, 20)] + [text[40:90], b"q" * 30, b"q" * 30]
+    places = [(1, i) for i in range(0, 260, 20)] + [(1, 40), (2, 0), (3, 0)]
+    at = defaultdict(set)
+    for c, (k, b) in zip(contexts, places, strict=True):
+        for x in range(len(c) - 7):
+            at[c[x : x + 8]].add((k, b + x))
+    want = [[x for x in range(len(c) - 7) if len(at[c[x : x + 8]]) > 1] for c in contexts]
+    assert [x.tolist() for x in suffix.repeated_windows(contexts, places, 8)] == want
+    assert [x.tolist() for x in suffix._by_suffixes(contexts, places, 8)] == want
