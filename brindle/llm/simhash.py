@@ -1,7 +1,8 @@
-"""SimHash near-duplicates: fingerprints, pigeonhole blocks, links by Hamming distance, components."""
+"""Near-duplicates: SimHash fingerprints linked by Hamming distance, or sets of shingles by Jaccard similarity; components."""
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import free_name, table, written
+from brindle.llm.common import drop_table, free_name, table, written
 from brindle.llm.graph import components
 
 SEED = 42
@@ -19,6 +20,12 @@ BITS = 64
 CHUNK = 8192
 #: Fingerprints in one bucket up to which all its pairs are compared; larger ones are linked by near values.
 SMALL_BUCKET = 64
+#: Near copies by Jaccard similarity: words in a shingle, and the similarity that makes a link.
+NEAR_WIDTH = 5
+NEAR_SIMILARITY = 0.8
+#: Shingles known as common are ordered last; found in one text of COMMON_SHARE, COMMON_MOST at most. They only save time.
+COMMON_SHARE = 16
+COMMON_MOST = 1 << 16
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -144,12 +151,8 @@ def classes(docs: DataFrame, id_col: str, text_col: str, *, width: int = 3, dist
     return prints.join(named, "fp").select("id", "digest", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, distance: int = 2) -> DataFrame:
-    """docs with one row of each component: that of the smallest id, then of the smallest text hash.
-
-    All columns stay. Components of null ids only keep one such row.
-    """
-    found = classes(docs, id_col, text_col, width=width, distance=distance)
+def _kept(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with one row of each component of found (id, digest, component_id)."""
     one, component = free_name(docs, "one"), free_name(docs, "component")
     kept = found.groupBy("component_id").agg(F.min_by(F.struct("id", "digest"), F.struct(F.col("id").isNull(), "id", "digest")).alias("one"))
     kept = kept.select(F.col("one.id").alias(component), F.col("one.digest").alias(one)).distinct()
@@ -162,6 +165,139 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, distance: int = 2) -> DataFrame:
+    """docs with one row of each component: that of the smallest id, then of the smallest text hash.
+
+    All columns stay. Components of null ids only keep one such row.
+    """
+    return _kept(docs, classes(docs, id_col, text_col, width=width, distance=distance), id_col, text_col)
+
+
+def shared_least(n: int, similarity: float) -> int:
+    """Shingles that a set of n shares at least with any set this similar to it."""
+    return math.ceil(similarity * n - 1e-9)
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """First shingles of a set in one order of all shingles: two sets this similar share one of their prefixes."""
+    if not len(shingles):
+        return shingles
+    place = np.zeros(len(shingles), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        place = np.where(common[at] == shingles, rank[at], 0)
+    return shingles[np.lexsort((shingles, place))][: len(shingles) - shared_least(len(shingles), similarity) + 1]
+
+
+_SETS = pa.struct([("node", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+_SETS_TYPE = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
+
+
+def _shingle_sets(text: Column, width: int) -> Column:
+    """The set of a text's shingle hashes, sorted, as bytes."""
+
+    @F.arrow_udf(T.BinaryType())
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([np.unique(shingle_hashes(t.as_py(), width)).tobytes() for t in texts], pa.binary())
+
+    return of.asNondeterministic()(text)
+
+
+def _prefixes(text: Column, width: int, similarity: float, common: np.ndarray, rank: np.ndarray) -> Column:
+    """(node, n, tokens): digest, size and prefix of a text's set of shingles."""
+
+    @F.arrow_udf(_SETS_TYPE)
+    def of(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts:
+            found = np.unique(shingle_hashes(t.as_py(), width))
+            node = int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
+            out.append({"node": node, "n": len(found), "tokens": prefix(found, common, rank, similarity).view(np.int64)})
+        return pa.array(out, _SETS)
+
+    return of.asNondeterministic()(text)
+
+
+def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, sorted, that stand in several of a share of the texts, and their ranks by frequency."""
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def of(column: pa.Array) -> pa.Array:
+        return pa.array([np.unique(shingle_hashes(t.as_py(), width)).view(np.int64) for t in column], pa.list_(pa.int64()))
+
+    some = texts.where(F.pmod("digest", F.lit(COMMON_SHARE)) == 0).dropDuplicates(["digest"])
+    counted = some.select(F.explode(of.asNondeterministic()("text")).alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 2")
+    rows = counted.orderBy(F.desc("n"), "token").limit(COMMON_MOST).collect()
+    tokens = np.array([r.token for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], len(rows) - order
+
+
+def _jaccard(similarity: float):
+    @F.arrow_udf(T.BooleanType())
+    def of(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = []
+        for a, b in zip(left, right, strict=True):
+            a, b = (np.frombuffer(x.as_py(), np.uint64) for x in (a, b))
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            out.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
+        return pa.array(out, pa.bool_())
+
+    return of.asNondeterministic()
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, prints: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) of nodes whose sets of shingles are this similar."""
+    needed = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+    digests = prints.groupBy("node").agg(F.min("digest").alias("digest")).join(needed, "node")
+    one_text = texts.join(digests, "digest").dropDuplicates(["node"])
+    sets = written(one_text.select("node", _shingle_sets(F.col("text"), width).alias("shingles")), "sets")
+    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    found = pairs.join(left, "a").join(right, "b").where(_jaccard(similarity)("sa", "sb")).select("a", "b")
+    found = written(found, "similar")
+    drop_table(sets)
+    return found
+
+
+def similar_classes(docs: DataFrame, id_col: str, text_col: str, *, width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """Like classes(), with links between all texts whose sets of shingles reach a Jaccard similarity: id, digest, component_id.
+
+    A 64-bit fingerprint can't find these pairs: at 0.8 they differ in some 10 bits, too many for blocks. Exact instead: of one
+    order of all shingles (common ones last), two such sets share one among their first fifth. Sets first meet the least one at
+    each shared shingle; only pairs that this leaves in different components are compared each with each, so that a large group
+    of near copies costs a link for each member. Every link is checked on whole sets; none is missed.
+    """
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("digest"))
+    texts = rows.select("digest", "text")
+    found = rows.select("id", "digest", _prefixes(F.col("text"), width, similarity, *_common(texts, width)).alias("s"))
+    prints = written(found.select("id", "digest", "s.*"), "prints")
+    tokens = prints.select("node", "n", F.posexplode("tokens").alias("place", "token"))
+    shared = tokens.groupBy("token").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p <> q").select("token")
+    again = written(tokens.join(shared, "token").distinct(), "tokens")
+    sizes = F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m") - 1e-9
+    least = again.groupBy("token").agg(F.min(F.struct("node", "n")).alias("o")).select("token", F.col("o.node").alias("a"), F.col("o.n").alias("m"))
+    starts = written(again.join(least, "token").where((F.col("node") > F.col("a")) & sizes).select("a", F.col("node").alias("b")).distinct(), "pairs")
+    links = _similar(starts, texts, prints, width, similarity)
+    joined = again.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = joined.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("token")
+    left = written(joined.join(mixed, "token"), "mixed")
+    other = left.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("component").alias("of"))
+    rest = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) * (1 + similarity) >= F.lit(similarity) * (F.col("n") + F.col("m")) - 1e-9
+    pairs = left.join(other, "token").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("of")) & sizes & rest)
+    pairs = written(pairs.select(F.col("node").alias("a"), "b").distinct().join(starts, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionAll(_similar(pairs, texts, prints, width, similarity))
+    labels = components(links)
+    labelled = prints.select("id", "digest", "node").join(labels, "node", "left").select("id", "digest", F.coalesce("component", "node").alias("component"))
+    named = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
+    return labelled.join(named, "component").select("id", "digest", "component_id")
+
+
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """docs with one row of each component of similar_classes(): chosen as by keep_one()."""
+    return _kept(docs, similar_classes(docs, id_col, text_col, width=width, similarity=similarity), id_col, text_col)
+
+
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     found = classes(table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select(

@@ -74,3 +74,16 @@ def test_run_and_empty_table(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, path).count() > 0
     spark.read.parquet(f"{path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_go(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    changed, longer = base.copy(), base.copy()
+    changed[40], changed[90] = "other", "words"
+    longer.insert(60, "inserted")
+    far = base[:60] + [f"v{rng.randrange(5000)}" for _ in range(60)]
+    rows = [(i, " ".join(w)) for i, w in enumerate([base, changed, longer, far])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()) == [0, 3]
+    assert corpus_pipeline.simhash_dedup(spark, docs.limit(0), "").count() == 0

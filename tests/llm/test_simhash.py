@@ -81,3 +81,29 @@ def test_keep_one_keeps_columns(spark):
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 9]
+
+
+def test_similar_against_brute_force(spark):
+    rng = random.Random(9)
+    some = lambda n: [f"w{rng.randrange(2000)}" for _ in range(n)]
+    line = some(40)
+    texts = [some(rng.randrange(1, 200)) for _ in range(40)] + [some(60) + line for _ in range(30)]
+    for _ in range(60):
+        near = rng.choice(texts).copy()
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(near))
+            near[at : at + rng.randrange(2)] = some(rng.randrange(3))
+        texts.append(near)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(900, None), (901, ""), (902, texts[0][0].upper())]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    alike = lambda a, b: a == b or bool(a | b) and len(a & b) >= 0.8 * len(a | b) - 1e-9
+    label = list(range(len(rows)))
+    for i, j in combinations(range(len(rows)), 2):
+        if alike(sets[i], sets[j]) and label[i] != label[j]:
+            low, high = sorted((label[i], label[j]))
+            label = [low if x == high else x for x in label]
+    want = sorted((i, rows[x][0]) for (i, _), x in zip(rows, label, strict=True))
+    assert len(set(label)) < len(rows) - 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.id, r.component_id) for r in simhash.similar_classes(df, "doc_id", "text").collect())
+    assert got == want
