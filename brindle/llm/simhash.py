@@ -127,6 +127,17 @@ def _by_near_values(large: DataFrame, masks: list[int], distance: int) -> DataFr
     return near.join(least, ["flip", "near"]).select("a", F.col("fp").alias("b")).where("a < b")
 
 
+def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int, distance: int) -> DataFrame:
+    """One row for each row of docs: id, digest, fp and component, its component's least fingerprint."""
+    text = F.col(f"`{text_col}`").cast("string")
+    prints = written(
+        docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("digest"), fingerprints(text, width).alias("fp")),
+        "prints",
+    )
+    linked = components(near_links(prints.select("fp").distinct(), distance))
+    return prints.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("id", "digest", "fp", F.coalesce("component", "fp").alias("component"))
+
+
 def classes(docs: DataFrame, id_col: str, text_col: str, *, width: int = 3, distance: int = 2) -> DataFrame:
     """One row for each row of docs: ``id``, ``digest`` (of the text), ``fp`` and ``component_id``.
 
@@ -152,25 +163,21 @@ def classes(docs: DataFrame, id_col: str, text_col: str, *, width: int = 3, dist
 
 
 def _kept(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with one row of each component of found (id, digest, component_id)."""
-    one, component = free_name(docs, "one"), free_name(docs, "component")
-    kept = found.groupBy("component_id").agg(F.min_by(F.struct("id", "digest"), F.struct(F.col("id").isNull(), "id", "digest")).alias("one"))
-    kept = kept.select(F.col("one.id").alias(component), F.col("one.digest").alias(one)).distinct()
+    """docs with one row of each component of found (id, digest, component)."""
+    one, digest = free_name(docs, "one"), free_name(docs, "digest")
+    kept = found.groupBy("component").agg(F.min_by(F.struct("id", "digest"), F.struct(F.col("id").isNull(), "id", "digest")).alias("one"))
+    kept = kept.select(F.col("one.id").alias(one), F.col("one.digest").alias(digest)).distinct()
     text = F.xxhash64(F.col(f"`{text_col}`").cast("string"))
-    return (
-        docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col(component)))
-        .where(text == F.col(one))
-        .dropDuplicates([id_col])
-        .drop(component, one)
-    )
+    joined = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col(one)) & (text == F.col(digest)))
+    return joined.dropDuplicates([id_col, digest]).drop(one, digest)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, distance: int = 2) -> DataFrame:
     """docs with one row of each component: that of the smallest id, then of the smallest text hash.
 
-    All columns stay. Components of null ids only keep one such row.
+    All columns stay. Components are told apart by their fingerprints, so null and repeated ids cost no other text.
     """
-    return _kept(docs, classes(docs, id_col, text_col, width=width, distance=distance), id_col, text_col)
+    return _kept(docs, _labelled(docs, id_col, text_col, width, distance), id_col, text_col)
 
 
 def shared_least(n: int, similarity: float) -> int:
@@ -259,8 +266,8 @@ def _similar(pairs: DataFrame, texts: DataFrame, prints: DataFrame, width: int,
     return found
 
 
-def similar_classes(docs: DataFrame, id_col: str, text_col: str, *, width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY) -> DataFrame:
-    """Like classes(), with links between all texts whose sets of shingles reach a Jaccard similarity: id, digest, component_id.
+def _similar_labelled(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """id, digest and component of each row, by links between all texts whose sets of shingles reach a Jaccard similarity.
 
     A 64-bit fingerprint can't find these pairs: at 0.8 they differ in some 10 bits, too many for blocks. Exact instead: of one
     order of all shingles (common ones last), two such sets share one among their first fifth. Sets first meet the least one at
@@ -288,14 +295,19 @@ def similar_classes(docs: DataFrame, id_col: str, text_col: str, *, width: int =
     pairs = written(pairs.select(F.col("node").alias("a"), "b").distinct().join(starts, ["a", "b"], "left_anti"), "pairs")
     links = links.unionAll(_similar(pairs, texts, prints, width, similarity))
     labels = components(links)
-    labelled = prints.select("id", "digest", "node").join(labels, "node", "left").select("id", "digest", F.coalesce("component", "node").alias("component"))
+    return prints.select("id", "digest", "node").join(labels, "node", "left").select("id", "digest", F.coalesce("component", "node").alias("component"))
+
+
+def similar_classes(docs: DataFrame, id_col: str, text_col: str, *, width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """Like classes(), with links between all texts whose sets of shingles reach a Jaccard similarity: id, digest, component_id."""
+    labelled = _similar_labelled(docs, id_col, text_col, width, similarity)
     named = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
     return labelled.join(named, "component").select("id", "digest", "component_id")
 
 
 def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """docs with one row of each component of similar_classes(): chosen as by keep_one()."""
-    return _kept(docs, similar_classes(docs, id_col, text_col, width=width, similarity=similarity), id_col, text_col)
+    return _kept(docs, _similar_labelled(docs, id_col, text_col, width, similarity), id_col, text_col)
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

@@ -107,3 +107,11 @@ def test_similar_against_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted((r.id, r.component_id) for r in simhash.similar_classes(df, "doc_id", "text").collect())
     assert got == want
+
+
+def test_null_and_repeated_ids_keep_other_texts(spark):
+    texts = ["one two three four five six", "quite other words stand in here", "and a third text of its own", "the fourth is not like them"]
+    rows = list(zip([None, None, 7, 7], texts, strict=True)) + [(None, texts[0]), (7, texts[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for keep in (simhash.keep_one, simhash.keep_one_similar):
+        assert sorted(r.text for r in keep(df).collect()) == sorted(texts)
