@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH_ROWS = 128
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def tune(spark: SparkSession) -> None:
@@ -40,10 +41,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Its shuffle files go once it is written, for nothing else reads them.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(FILE_CLEANUP, "false")
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FILE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
