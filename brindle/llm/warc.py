@@ -6,22 +6,26 @@ import base64
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.ipc  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from brindle.llm.common import scratch_path, table, written
 
 CRLF = "\r\n"
 RECORD_END = CRLF * 2
-#: Records in one archive file at most; a reading task holds one compressed file.
-RECORDS_PER_FILE = 4000
+#: Compressed bytes after which an archive file ends; a reading task holds one file.
+ARCHIVE_BYTES = 8 << 20
+#: A gzip member without content, which ends each file.
+EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000030300" + "00" * 8)
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Captures in one merged range, about.
 RANGE_ROWS = 200_000
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 FIRST_CAPTURE = 1_704_067_200  # 2024-01-01T00:00:00Z
 
 
@@ -35,14 +39,14 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + ")" + (slash + path if slash else "/") + mark + query
 
 
-@F.arrow_udf(T.StringType())
-def _digest(payloads: pa.Array) -> pa.Array:
-    return pa.array([base64.b32encode(hashlib.sha1(p.as_py().encode()).digest()).decode() for p in payloads], pa.string())
+def _digest(payload: Column) -> Column:
+    """Base32 of the payload's SHA-1: each 5 hexadecimal digits are 4 letters."""
 
+    def letters(at: Column) -> Column:
+        bits = F.conv(F.substring(F.sha1(payload), at * 5 + 1, F.lit(5)), 16, 10).cast("int")
+        return F.concat(*[F.substring(F.lit(BASE32), F.shiftright(bits, shift).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for shift in (15, 10, 5, 0)])
 
-@F.arrow_udf(T.StringType())
-def _url_key(urls: pa.Array) -> pa.Array:
-    return pa.array([url_key(u.as_py()) for u in urls], pa.string())
+    return F.concat(*[letters(F.lit(i)) for i in range(8)])
 
 
 def _header(name: str, value: Column) -> Column:
@@ -64,7 +68,7 @@ def decide(pages: DataFrame, id_col: str, url_col: str, payload_col: str, time_c
         F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).alias("payload"),
         F.coalesce(time, F.lit(FIRST_CAPTURE)).alias("time"),
     ).withColumn("bytes", F.octet_length("payload").cast("long"))
-    hashed = captures.withColumn("digest", _digest.asNondeterministic()("payload"))
+    hashed = captures.withColumn("digest", _digest(F.col("payload")))
     narrow = written(hashed.select("id", "digest", "bytes"), "digests")
     first = narrow.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     again = narrow.join(first.where("n > 1"), "digest").where("id <> least").select("id", "digest", "least").distinct()
@@ -74,7 +78,7 @@ def decide(pages: DataFrame, id_col: str, url_col: str, payload_col: str, time_c
 
 
 def records(captures: DataFrame) -> DataFrame:
-    """Captures as WARC/1.1 records in one string column; the writer's line separator ends them."""
+    """Captures as WARC/1.1 records in one string column."""
     stamp = F.date_format(F.timestamp_seconds("time"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     revisit = F.col("original").isNotNull()
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
@@ -92,29 +96,62 @@ def records(captures: DataFrame) -> DataFrame:
         _header("Content-Length", F.octet_length(body)),
         F.lit(CRLF),
     )
-    return captures.select(F.concat(head, body).alias("value"))
+    return captures.select(F.concat(head, body, F.lit(RECORD_END)).alias("value"))
+
+
+def _archives(least_size: int):
+    """Records compressed one by one, least_size bytes or a little more in a row."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"value": pa.array([b"".join(held)], pa.binary())})
+
+        for batch in batches:
+            for record in batch.column(0):
+                member = zlib.compressobj(wbits=31)
+                held += [member.compress(record.as_py().encode()), member.flush()]
+                size += len(held[-1]) + len(held[-2])
+                if size >= least_size:
+                    yield row()
+                    held, size = [], 0
+        if held:
+            yield row()
+
+    return of
 
 
 def write_archives(captures: DataFrame, path: str) -> None:
-    """Archives under path, gzipped.
+    """Archives under path: a gzip member for each record, so that one can be read by its offset alone.
 
-    Spark's text writer ends each record with the format's blank lines and commits files whole, so
-    that a lost executor leaves no half archive and any file system will do.
+    Spark's text writer writes the bytes of each row to a file of its own and commits files whole, so
+    that a lost executor leaves no half archive and any file system will do. What it writes behind a row is an empty member.
     """
-    records(captures).write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows = records(captures).mapInArrow(_archives(ARCHIVE_BYTES), "value binary").select(F.col("value").cast("string"))
+    rows.write.option("maxRecordsPerFile", 1).option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+
 
+def members(content: bytes, at: int = 0, piece: int = 1 << 16) -> Iterator[tuple[int, bytes]]:
+    """(offset, inflated bytes) of each gzip member of a file from one that begins at ``at``; empty ones are left out."""
+    view = memoryview(content)
+    while at < len(view):
+        begin, member, out = at, zlib.decompressobj(wbits=31), []
+        while not member.eof:
+            if at >= len(view):
+                raise ValueError("the archive ends inside a gzip member")
+            out.append(member.decompress(view[at : at + piece]))
+            at = min(at + piece, len(view))
+        at -= len(member.unused_data)
+        if data := b"".join(out):
+            yield begin, data
 
-def inflated(content: bytes, piece: int = 1 << 20) -> Iterator[bytes]:
-    """The bytes of a file of one or more gzip members, piece by piece."""
-    while content:
-        member = zlib.decompressobj(wbits=31)
-        at = 0
-        while not member.eof and at < len(content):
-            yield member.decompress(content[at : at + piece])
-            at += piece
-        if not member.eof:
-            raise ValueError("the archive ends inside a gzip member")
-        content = member.unused_data + content[at:]
+
+def read_record(content: bytes, offset: int) -> tuple[dict[str, str], bytes]:
+    """Headers and block of the record whose member begins at ``offset``."""
+    _, data = next(members(content, offset))
+    _, headers, block = next(parse([data]))
+    return headers, block
 
 
 def parse(pieces: Iterable[bytes]) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -150,7 +187,7 @@ def parse(pieces: Iterable[bytes]) -> Iterator[tuple[int, dict[str, str], bytes]
 
 
 INDEX = (
-    "archive string, offset long, id string, url string, time string, record_type string, refers_to string, "
+    "url_key string, time string, id string, archive string, offset long, url string, record_type string, refers_to string, "
     "payload_digest string, payload_bytes long, block_digest string, block_bytes long"
 )
 
@@ -161,23 +198,29 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64() if f.endswith("long") else pa.string() for f in INDEX.split(", ")]
     for batch in batches:
         for path, content in zip(batch.column(0), batch.column(1), strict=True):
-            rows = []
-            for offset, h, block in parse(inflated(content.as_py())):
-                digest = base64.b32encode(hashlib.sha1(block).digest()).decode()
-                rows.append((
-                    path.as_py().rpartition("/")[2], offset, bare(h["warc-record-id"]), h.get("warc-target-uri"), h["warc-date"], h["warc-type"],
-                    bare(h.get("warc-refers-to")), h["warc-payload-digest"].removeprefix("sha1:"), int(h["x-payload-length"]), digest, len(block),
-                ))
+            rows, name = [], path.as_py().rpartition("/")[2]
+            for offset, data in members(content.as_py()):
+                for _, h, block in parse([data]):
+                    digest = base64.b32encode(hashlib.sha1(block).digest()).decode()
+                    url = h.get("warc-target-uri")
+                    rows.append((
+                        url_key(url), h["warc-date"], bare(h["warc-record-id"]), name, offset, url, h["warc-type"], bare(h.get("warc-refers-to")),
+                        h["warc-payload-digest"].removeprefix("sha1:"), int(h["x-payload-length"]), digest, len(block),
+                    ))
+            rows.sort(key=lambda r: r[:MERGE_KEYS])
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One index row for each record of the archives under path; raises where a response's payload isn't what its header says."""
+    """One index row for each record of the archives under path, each archive's in order of url_key, time, id and offset.
+
+    An archive's offsets are those of its gzip members. Raises where a response's payload isn't what its header says.
+    """
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     try:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
         index = written(files.mapInArrow(_indexed, INDEX), "index")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
@@ -187,6 +230,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return index.drop("block_digest", "block_bytes")
 
 
+#: The first so many columns are the order.
+MERGE_KEYS = 5
+
+
 class LoserTree:
     """k sorted runs merged: rows compare by their first columns. Inner nodes keep the loser of each match, so that the next winner takes log k matches."""
 
@@ -226,60 +273,85 @@ class LoserTree:
             self._rise(run)
 
 
-#: The first so many columns are the order.
-MERGE_KEYS = 4
-CAPTURE = "url_key string, time string, id string, offset long, archive string, record_type string, refers_to string, payload_digest string, payload_bytes long"
+CAPTURE = "url_key string, time string, id string, archive string, offset long, record_type string, refers_to string, payload_digest string, payload_bytes long"
 HISTORY = f"part int, position long, {CAPTURE}"
+_NAMES = [f.split()[0] for f in CAPTURE.split(", ")]
+_capture = pa.schema([(f.split()[0], pa.int64() if f.endswith("long") else pa.string()) for f in CAPTURE.split(", ")])
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range of the order: rows come run by run, each sorted; the runs are merged."""
-    runs: dict[str, list[pa.Table]] = {}
-    part = 0
-    for batch in batches:
-        part = batch.column(0)[0].as_py()
-        held = pa.Table.from_batches([batch])
-        for run in held["archive"].unique().to_pylist():
-            runs.setdefault(run, []).append(held.filter(pa.compute.equal(held["archive"], run)))
-    fields = [f.split() for f in CAPTURE.split(", ")]
-    names, kinds = [f[0] for f in fields], [pa.int64() if f[1] == "long" else pa.string() for f in fields]
-
-    def rows(tables: list[pa.Table]) -> Iterator[tuple]:
-        for t in tables:
-            for chunk in t.to_batches(max_chunksize=1024):
-                yield from zip(*(chunk.column(n).to_pylist() for n in names), strict=True)
-
-    out: list[tuple] = []
-    position = 0
-
-    def flush() -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True))
-        cells = [pa.array([part] * len(out), pa.int32()), pa.array(range(position - len(out), position), pa.int64())]
-        return pa.RecordBatch.from_arrays(cells + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "position", *names])
-
-    for row in LoserTree([rows(t) for t in runs.values()], MERGE_KEYS):
+def _runs(borders: list[tuple]):
+    """(part, run) rows from captures: sorted stretches of them, cut at the borders, each as one serialised table.
+
+    Captures come as they were written, archive by archive. Where one is less than that before it a new run begins.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        part = 0
+
+        def row() -> pa.RecordBatch:
+            table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _capture, strict=True)], schema=_capture)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _capture) as out:
+                out.write_table(table, max_chunksize=1024)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["part", "run"])
+
+        for batch in batches:
+            for capture in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key = capture[:MERGE_KEYS]
+                if held and (key < held[-1][:MERGE_KEYS] or (part < len(borders) and key >= borders[part])):
+                    yield row()
+                    held = []
+                if not held:
+                    part = bisect_right(borders, key)
+                held.append(capture)
+        if held:
+            yield row()
+
+    return of
+
+
+def _merged(key, held):
+    """One range of the order: its runs, merged."""
+
+    def rows(run: bytes) -> Iterator[tuple]:
+        for chunk in pa.ipc.open_stream(run):
+            yield from zip(*(c.to_pylist() for c in chunk.columns), strict=True)
+
+    tables, out, position = [], [], 0
+
+    def flush() -> None:
+        cells = [pa.array([key[0].as_py()] * len(out), pa.int32()), pa.array(range(position - len(out), position), pa.int64())]
+        cells += [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _capture, strict=True)]
+        tables.append(pa.Table.from_arrays(cells, names=["part", "position", *_NAMES]))
+
+    for row in LoserTree([rows(r.as_py()) for r in held["run"]], MERGE_KEYS):
         out.append(row)
         position += 1
         if len(out) == 4096:
-            yield flush()
+            flush()
             out = []
     if out:
-        yield flush()
+        flush()
+    return pa.concat_tables(tables)
 
 
 def histories(index: DataFrame) -> DataFrame:
-    """All captures in global order of url_key, time, id, offset: by part, then position.
+    """All captures in global order of url_key, time, id, archive, offset: by part, then position.
 
-    Each archive's captures are a run. The order is cut in ranges of about RANGE_ROWS captures (by all three
-    keys, so that a hot address is cut too); in every range the runs' sorted pieces meet and are
-    merged by a loser tree.
+    Each archive's captures are a run, sorted where it was read. The order is cut in ranges of about RANGE_ROWS captures; in every
+    range the runs' pieces meet and are merged by a loser tree, which alone orders them. What reaches the driver is one
+    border for each range.
     """
-    keyed = written(index.select(_url_key.asNondeterministic()("url").alias("url_key"), F.col("*")), "keys")
-    ranges = max(1, -(-keyed.count() // RANGE_ROWS))
-    dealt = keyed.repartitionByRange(ranges, "url_key", "time", "id").withColumn("part", F.spark_partition_id())
-    columns = [f.split()[0] for f in CAPTURE.split(", ")]
-    runs = dealt.select("part", *columns).sortWithinPartitions("archive", "url_key", "time", "id", "offset")
-    return runs.mapInArrow(_merged, HISTORY)
+    keys = _NAMES[:MERGE_KEYS]
+    ranges = max(1, -(-index.count() // RANGE_ROWS))
+    borders = []
+    if ranges > 1:
+        dealt = index.select(*keys).repartitionByRange(ranges, *keys)
+        least = dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*keys)).alias("least"))
+        borders = sorted(tuple(r.least) for r in least.collect())[1:]
+    runs = index.select(*_NAMES).mapInArrow(_runs(borders), "part int, run binary")
+    return runs.groupBy("part").applyInArrow(_merged, HISTORY)
 
 
 def archive(

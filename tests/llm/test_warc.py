@@ -1,6 +1,7 @@
 """WARC archives: an exact round trip, and the merged order against a sort."""
 
 import base64
+import gzip
 import hashlib
 import random
 
@@ -44,16 +45,32 @@ def test_round_trip(spark, tmp_path):
 
 def test_blocks_come_back(spark, tmp_path):
     df = spark.createDataFrame(ROWS, "page_id long, url string, html string").coalesce(1)
-    warc.archive(df, str(tmp_path / "a"))
+    index, _ = warc.archive(df, str(tmp_path / "a"))
     blocks = []
-    for f in (tmp_path / "a").glob("*.gz"):
-        blocks += [(h["warc-record-id"], b.decode()) for _, h, b in warc.parse(warc.inflated(f.read_bytes(), 100))]
+    files = {f.name: f.read_bytes() for f in (tmp_path / "a").glob("part-*")}
+    for content in files.values():
+        # Any gzip reader can read the whole file.
+        blocks += [(h["warc-record-id"], b.decode()) for _, h, b in warc.parse([gzip.decompress(content)])]
+        assert blocks == [(h["warc-record-id"], b.decode()) for _, data in warc.members(content, piece=100) for _, h, b in warc.parse([data])]
     assert ("<urn:capture:2>", ROWS[1][2]) in blocks and ("<urn:capture:6>", ROWS[5][2]) in blocks
+    # One record by its offset.
+    for r in index.collect():
+        headers, block = warc.read_record(files[r.archive], r.offset)
+        assert headers["warc-record-id"] == f"<urn:capture:{r.id}>" and (r.record_type == "revisit" or len(block) == r.payload_bytes)
+
+
+def test_archives_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    rng = random.Random(1)
+    rows = [(i, "u", "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=500))) for i in range(50)]
+    warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "a"))
+    sizes = [f.stat().st_size for f in (tmp_path / "a").glob("part-*")]
+    assert len(sizes) > 10 and max(sizes) < 3000
 
 
 def test_order_is_global(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "RANGE_ROWS", 40)
-    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 30)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 5000)
     rng = random.Random(3)
     rows = [(i, f"http://h{rng.randrange(3) if i % 3 else 0}.org/{rng.randrange(5) if i % 2 else 'hot'}", f"{i}", rng.randrange(9)) for i in range(300)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, at long").repartition(4)
