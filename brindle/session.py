@@ -23,6 +23,13 @@ from brindle.sources.store import Store, Transaction
 from brindle.streaming.results import stream
 
 ROW = "__row"
+_LITERAL = r"NULL|-?\d+|\(?-\(?\d+\)?\)?|-?\d+\.\d+|'(?:[^'\\]|''|\\.)*'|true|false"
+
+
+def _literal_kind(sql: str) -> str:
+    return "NULL" if sql == "NULL" else "text" if sql[0] == "'" else "decimal" if "." in sql else "boolean" if sql in ("true", "false") else "integer"
+
+
 SETTINGS = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
@@ -55,6 +62,7 @@ class Session:
         self.store = Store(spark, root or f"{files.shared_dir(spark)}/brindle-store-{uuid.uuid4().hex}", isolation)
         self.transaction: Transaction | None = None
         self.current: Transaction | None = None
+        self._views: list[str] = []
 
     # Statements
 
@@ -77,7 +85,12 @@ class Session:
         }
         if word not in kinds:
             raise SqlError(f"unknown statement {parser.token.text!r}")
-        return self.within(lambda: kinds[word](parser))
+        try:
+            return self.within(lambda: kinds[word](parser))
+        finally:
+            # Plans are analysed by now and no longer need the names.
+            while self._views:
+                self.spark.catalog.dropTempView(self._views.pop())
 
     def within(self, action: Callable):
         """Run action in the open transaction, or in one of its own that is committed after it."""
@@ -176,10 +189,11 @@ class Session:
             raise SqlError(f"table '{name}' does not exist")
         return self._view(documents)
 
-    @staticmethod
-    def _view(df: DataFrame) -> str:
+    def _view(self, df: DataFrame) -> str:
+        """A name for df until the statement ends."""
         name = f"brindle_{uuid.uuid4().hex}"
         df.createOrReplaceTempView(name)
+        self._views.append(name)
         return ident(name)
 
     def _recursive(self, name: str, columns: list[str] | None, first: str, step: str) -> str:
@@ -226,8 +240,8 @@ class Session:
     def _returned(self, items: list[str] | None, rows: DataFrame, alias: str) -> DataFrame | None:
         return self.spark.sql(f"SELECT {', '.join(items)} FROM {self._view(rows)} AS {ident(alias)}") if items else None
 
-    def _verify(self, name: str, rows: DataFrame, existing: DataFrame | None) -> None:
-        """All constraints of a table on new rows, existing being the rows they join."""
+    def _verify(self, name: str, rows: DataFrame, existing: DataFrame | None, keys: bool = True) -> None:
+        """All constraints of a table (keys: unique ones too) on new rows, existing being the rows they join."""
         table = self.definition(name)
         for c in table["columns"]:
             if not c["nullable"]:
@@ -237,7 +251,8 @@ class Session:
                 p = Parser(k["test"], Names(self._relation))
                 constraints.check(rows, k["name"], p.expr().sql)
             elif k["kind"] in ("PRIMARY KEY", "UNIQUE"):
-                constraints.unique(rows, k["columns"], k["name"], existing)
+                if keys:
+                    constraints.unique(rows, k["columns"], k["name"], existing)
             elif k["kind"] == "FOREIGN KEY":
                 parent = self.frame(k["table"])
                 if self.key(k["table"]) == self.key(name):
@@ -279,8 +294,7 @@ class Session:
             if missing or len(rows[0]) > len(wanted):
                 raise SqlError(f"unknown column {missing[0]!r}" if missing else "INSERT has more values than columns")
             wanted = wanted[: len(rows[0])]
-            shown = ["SELECT " + ", ".join(f"{cast(e.sql, kinds[c.lower()])} AS {ident(c)}" for c, e in zip(wanted, r, strict=True)) for r in rows]
-            given = self.spark.sql(" UNION ALL ".join(shown))
+            given = self._values(rows, wanted, kinds)
         else:
             given = self.spark.sql(source)
             if len(given.columns) != len(wanted):
@@ -295,7 +309,7 @@ class Session:
                 default = Parser(c["default"], Names(self._relation)).expr().sql if c["default"] else "NULL"
                 given = given.withColumn(c["name"], F.expr(cast(default, parse_type(c["type"]))))
         given = given.select(*[F.col(f"`{c}`").alias(c) for c in declared]) if values else self._typed(given, table)
-        folder, new = self._written(given)
+        folder, new = self._written(self._clustered(name, given))
         old = self.frame(name)
         if conflict is None:
             self._verify(name, new, old)
@@ -303,6 +317,19 @@ class Session:
             return Result(self._returned(items, new, alias), new.count())
         return self._insert_or(name, table, new, old, conflict, items, alias)
 
+    def _values(self, rows: list[list], columns: list[str], kinds: dict) -> DataFrame:
+        """The rows of VALUES in one relation. Columns of plain literals are cast once, others value by value."""
+        names = ", ".join(map(ident, columns))
+        literal = [all(re.fullmatch(_LITERAL, r[i].sql) for r in rows) and len({_literal_kind(r[i].sql) for r in rows} - {"NULL"}) <= 1 for i in range(len(columns))]
+        shown = [[e.sql if literal[i] else cast(e.sql, kinds[columns[i].lower()]) for i, e in enumerate(r)] for r in rows]
+        after = [cast(ident(c), kinds[c.lower()]) if literal[i] else ident(c) for i, c in enumerate(columns)]
+        # What VALUES can't evaluate makes a SELECT for each row.
+        if any("SELECT" in e or "raise_error" in e for r in shown for e in r):
+            relation = " UNION ALL ".join("SELECT " + ", ".join(f"{e} AS {ident(c)}" for c, e in zip(columns, r, strict=True)) for r in shown)
+        else:
+            relation = f"SELECT * FROM VALUES {', '.join('(' + ', '.join(r) + ')' for r in shown)} AS given({names})"
+        return self.spark.sql(f"SELECT {', '.join(f'{e} AS {ident(c)}' for c, e in zip(columns, after, strict=True))} FROM ({relation})")
+
     def _conflict(self, p: Parser) -> tuple | None:
         """(target columns or None, SET items or None for nothing, WHERE)."""
         if not p.accept("ON", "CONFLICT"):
@@ -361,18 +388,23 @@ class Session:
     def _replace(self, name: str, old: DataFrame, rows: DataFrame, changed: DataFrame | None) -> None:
         """Give a table new rows, of which ``changed`` are to be verified (with the whole table's keys)."""
         table = self.tables[self.key(name)]
-        folder, now = self._written(rows.select(*[f"`{c['name']}`" for c in table["columns"]]))
+        folder, now = self._written(self._clustered(name, rows.select(*[f"`{c['name']}`" for c in table["columns"]])))
         self._put(name, [folder])
         if changed is not None:
             for k in table["constraints"]:
                 if k["kind"] in ("PRIMARY KEY", "UNIQUE"):
                     constraints.unique(now, k["columns"], k["name"])
-            keyless = {**table, "folders": [folder], "constraints": [k for k in table["constraints"] if k["kind"] not in ("PRIMARY KEY", "UNIQUE")]}
-            self.tables[self.key(name)] = keyless
-            try:
-                self._verify(name, changed, None)
-            finally:
-                self.tables[self.key(name)] = {**keyless, "constraints": table["constraints"]}
+            self._verify(name, changed, None, keys=False)
+
+    def _clustered(self, name: str, rows: DataFrame) -> DataFrame:
+        """rows in the order of the table's index on columns, if it has one, so that scans prune files by their statistics."""
+        on = next((x["columns"] for x in self.current.state["indexes"].values() if x["table"] == self.key(name) and x.get("columns")), None)
+        return rows.sortWithinPartitions(*[f"`{c}`" for c in on]) if on else rows
+
+    def _indexes_of(self, name: str, change: Callable[[dict], None]) -> None:
+        for x in self.current.state["indexes"].values():
+            if x["table"] == self.key(name) and x.get("columns"):
+                change(x)
 
     def _numbered(self, name: str) -> DataFrame:
         """The table's rows with a number each, written, so that the numbers hold."""
@@ -395,13 +427,15 @@ class Session:
         for c, _ in sets:
             if c.lower() not in kinds:
                 raise SqlError(f"unknown column {c!r}")
+        if not others and "SELECT" not in where and not any("SELECT" in e for _, e in sets) and not self._children(name):
+            return self._update_in_one_pass(name, alias, {c.lower(): e for c, e in sets}, where, kinds, items)
         old = self._numbered(name)
         shown = [f"{cast(e, kinds[c.lower()])} AS {ident(c)}" for c, e in sets]
         source = " CROSS JOIN ".join([f"{self._view(old)} AS {ident(alias)}", *others])
         met = self.spark.sql(f"SELECT {ident(alias)}.{ROW} AS {ROW}, {', '.join(shown)} FROM {source} WHERE {where}")
         if others:
-            # A row that meets several takes one of them.
-            met = met.groupBy(ROW).agg(*[F.first(c).alias(c) for c, _ in sets])
+            # A row that meets several takes the least of their new values.
+            met = met.groupBy(ROW).agg(F.min(F.struct(*[c for c, _ in sets])).alias("least")).select(ROW, *[F.col(f"least.`{c}`").alias(c) for c, _ in sets])
         met = files.written(met)
         new = {c.lower(): c for c, _ in sets}
         columns = [F.col(f"n.`{new[c.lower()]}`").alias(c) if c.lower() in new else F.col(f"o.`{c}`") for c in (x["name"] for x in table["columns"])]
@@ -411,6 +445,24 @@ class Session:
         self._parents_changed(name, old, touched)
         return Result(self._returned(items, touched.drop(ROW), alias), touched.count())
 
+    def _update_in_one_pass(self, name: str, alias: str, sets: dict[str, str], where: str, kinds: dict, items: list[str] | None) -> Result:
+        """An UPDATE that reads nothing but its table: written once, with a mark on the rows that change."""
+        table = self.tables[self.key(name)]
+        test = f"coalesce({where}, false)"
+        shown = [
+            f"CASE WHEN {test} THEN {cast(sets[n.lower()], kinds[n.lower()])} ELSE {ident(alias)}.{ident(n)} END AS {ident(n)}" if n.lower() in sets else f"{ident(alias)}.{ident(n)} AS {ident(n)}"
+            for n in (c["name"] for c in table["columns"])
+        ]
+        marked = self.spark.sql(f"SELECT {', '.join(shown)}, {test} AS {ROW} FROM {self._view(self.frame(name))} AS {ident(alias)}")
+        folder, now = self._written(self._clustered(name, marked))
+        touched = now.where(ROW).drop(ROW)
+        self._put(name, [folder])
+        for k in table["constraints"]:
+            if k["kind"] in ("PRIMARY KEY", "UNIQUE") and any(c.lower() in sets for c in k["columns"]):
+                constraints.unique(now, k["columns"], k["name"])
+        self._verify(name, touched, None, keys=False)
+        return Result(self._returned(items, touched, alias), touched.count())
+
     @staticmethod
     def _target(p: Parser) -> tuple[str, str]:
         name = p.qualified()
@@ -425,6 +477,14 @@ class Session:
         where = p.expr().sql if p.accept("WHERE") else "true"
         items = self._returning(p)
         p.end()
+        if not others and "SELECT" not in where:
+            table = f"{self._view(self.frame(name))} AS {ident(alias)}"
+            removed = self.spark.sql(f"SELECT * FROM {table} WHERE coalesce({where}, false)")
+            kept = self.spark.sql(f"SELECT * FROM {table} WHERE NOT coalesce({where}, false)")
+            count = removed.count()
+            self._put(name, [self.store.write(self._clustered(name, kept))])
+            self._parents_removed(name, removed)
+            return Result(self._returned(items, removed, alias), count)
         old = self._numbered(name)
         source = " CROSS JOIN ".join([f"{self._view(old)} AS {ident(alias)}", *others])
         gone = files.written(self.spark.sql(f"SELECT DISTINCT {ident(alias)}.{ROW} AS {ROW} FROM {source} WHERE {where}"))
@@ -640,7 +700,13 @@ class Session:
             constraints.unique(self.frame(table), columns, name)
             changed = {**definition, "constraints": [*definition["constraints"], {"kind": "UNIQUE", "name": name, "columns": columns}]}
             self.tables[self.key(table)] = changed
-        self.current.state["indexes"][self.key(name)] = {"table": self.key(table), "on": text, "unique": is_unique}
+        declared = {c["name"].lower() for c in definition["columns"]}
+        own = columns if None not in columns and {c.lower() for c in columns} <= declared else None
+        self.current.state["indexes"][self.key(name)] = {"table": self.key(table), "on": text, "unique": is_unique, "columns": own}
+        if own and definition["folders"]:
+            # An index is an order of the rows, by which scans prune files and row groups.
+            dealt = self.frame(table).repartitionByRange(*[f"`{c}`" for c in own])
+            self._put(table, [self.store.write(self._clustered(table, dealt))])
         return Result()
 
     def _drop(self, p: Parser) -> Result:
@@ -651,11 +717,22 @@ class Session:
             raise SqlError(f"can't drop {kind}")
         quiet = p.accept("IF", "EXISTS")
         name = p.qualified()
+        cascade = p.accept("CASCADE")
         p.end()
         if self.key(name) not in self.current.state[part]:
             if quiet:
                 return Result()
             raise SqlError(f"'{name}' does not exist")
+        if part == "tables":
+            for child, k in self._children(name):
+                if child == self.key(name):
+                    continue
+                if not cascade:
+                    raise ConstraintError(f"'{child}' refers to '{name}' by '{k['name']}'")
+                rest = [x for x in self.tables[child]["constraints"] if x is not k]
+                self.tables[child] = {**self.tables[child], "constraints": rest}
+            for index in [n for n, x in self.current.state["indexes"].items() if x["table"] == self.key(name)]:
+                del self.current.state["indexes"][index]
         del self.current.state[part][self.key(name)]
         return Result()
 
@@ -677,6 +754,7 @@ class Session:
             if self.key(new) in self.tables:
                 raise SqlError(f"table '{new}' exists")
             del self.tables[self.key(name)]
+            self._indexes_of(name, lambda x: x.update(table=self.key(new)))
             for child in self.tables.values():
                 for k in child["constraints"]:
                     if k["kind"] == "FOREIGN KEY" and self.key(k["table"]) == self.key(name):
@@ -689,6 +767,7 @@ class Session:
             new, old = p.identifier(), c["name"]
             rows = self.frame(name).withColumnRenamed(old, new)
             c["name"] = new
+            self._indexes_of(name, lambda x: x.update(columns=[new if n.lower() == old.lower() else n for n in x["columns"]]))
             for k in table["constraints"]:
                 if "columns" in k:
                     k["columns"] = [new if x.lower() == old.lower() else x for x in k["columns"]]
@@ -712,8 +791,10 @@ class Session:
                     raise SqlError(f"column '{c['name']}' exists")
                 for k in table["constraints"][before:]:
                     self._settle(name, table, k)
-                if c["default"]:
-                    rows = self.frame(name).withColumn(c["name"], F.expr(cast(Parser(c["default"], Names(self._relation)).expr().sql, parse_type(c["type"]))))
+                # Folders are read by name, and may hold a dropped column of this one.
+                if c["default"] or c["name"].lower() in table.get("dropped", []):
+                    default = Parser(c["default"], Names(self._relation)).expr().sql if c["default"] else "NULL"
+                    rows = self.frame(name).withColumn(c["name"], F.expr(cast(default, parse_type(c["type"]))))
         elif p.accept("DROP", "CONSTRAINT"):
             k = p.identifier()
             if not any(x["name"] == k for x in table["constraints"]):
@@ -724,6 +805,10 @@ class Session:
             p.accept("COLUMN")
             c = column()
             table["columns"].remove(c)
+            lost = [n for n, x in self.current.state["indexes"].items() if x["table"] == self.key(name) and c["name"].lower() in map(str.lower, x.get("columns") or [])]
+            for n in lost:
+                del self.current.state["indexes"][n]
+            table["dropped"] = [*table.get("dropped", []), c["name"].lower()]
             table["constraints"] = [k for k in table["constraints"] if c["name"].lower() not in map(str.lower, k.get("columns", []))]
         else:
             p.expect("ALTER")
@@ -748,6 +833,7 @@ class Session:
         p.end()
         if rows is not None:
             table["folders"] = [self.store.write(rows.select(*[f"`{x['name']}`" for x in table["columns"]]))]
+            table["dropped"] = []
         self.tables[self.key(name)] = table
         return Result()
 

@@ -11,7 +11,7 @@ import re
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.plans.lexer import SqlError
@@ -258,6 +258,100 @@ class KeyValue:
     def sismember(self, key: str, member: str) -> int:
         return self._in(lambda: int(member in self._kind(self._get(key), "set")))
 
+    # Many keys at once: a table of keys and values in, a table of replies out
+
+    def rows(self, pattern: str = "*") -> DataFrame:
+        """(key, kind, value, items) of all live keys that match."""
+        return self._in(lambda: self._rows().where(F.col("key").rlike(f"(?s)^{glob_pattern(pattern)}$")).select("key", "kind", "value", "items"))
+
+    def _change(self, given: DataFrame, kind: str, after: Column, reply: Column) -> DataFrame:
+        """Apply one command to every key of given (key, values; each key once), and return (key, reply).
+
+        after and reply are columns of ``items`` (those of the key now, empty if it is new) and ``values``. A key left
+        without items is deleted.
+        """
+
+        def action() -> DataFrame:
+            s = self.session
+            if given.groupBy("key").count().where("count > 1 or key is null").limit(1).count():
+                raise SqlError("a key is null or given twice")
+            now = self._rows().select("key", F.col("kind").alias("now"), "items")
+            met = files.written(given.select("key", "values").join(now, "key", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>"))))
+            if not met.where(F.col("now") != kind).isEmpty():
+                raise WrongType()
+            table = s.tables[TABLE]
+            seq = table.get("seq", 0) + 1
+            changed = met.withColumn("reply", reply).withColumn("items", after)
+            left = F.size("items") > 0
+            new = changed.select(
+                "key", F.lit(seq).cast("long").alias("seq"), F.when(left, F.lit(kind)).alias("kind"), F.lit(None).cast("string").alias("value"), F.when(left, F.col("items")).alias("items")
+            )
+            s.tables[TABLE] = {**table, "folders": [*table["folders"], s.store.write(new)], "seq": seq}
+            return changed.select("key", "reply")
+
+        return self._in(action)
+
+    def push_many(self, given: DataFrame, left: bool = False) -> DataFrame:
+        """RPUSH (left: LPUSH) for every key; reply: the list's new length."""
+        values, items = F.col("values"), F.col("items")
+        after = F.concat(F.reverse(values), items) if left else F.concat(items, values)
+        return self._change(given, "list", after, (F.size(items) + F.size(values)).cast("long"))
+
+    def pop_many(self, given: DataFrame, count: int = 1, left: bool = True) -> DataFrame:
+        """LPOP (not left: RPOP) of up to count items for every key of given (key); reply: the items."""
+        items = F.col("items")
+        n = F.least(F.lit(count), F.size(items))
+        rest = F.slice(items, n + 1, F.size(items)) if left else F.slice(items, F.lit(1), F.size(items) - n)
+        return self._change(given.select("key", F.array().cast("array<string>").alias("values")), "list", rest, F.slice(items if left else F.reverse(items), F.lit(1), n))
+
+    def range_many(self, pattern: str, start: int, stop: int) -> DataFrame:
+        """LRANGE for every list whose key matches: (key, reply)."""
+        items = F.col("items")
+        first = F.greatest(F.lit(0), F.lit(start) + F.size(items) if start < 0 else F.lit(start))
+        last = F.lit(stop) + F.size(items) if stop < 0 else F.lit(stop)
+        return self._of_kind(pattern, "list").select("key", F.slice(items, first + 1, F.greatest(F.lit(0), last - first + 1)).alias("reply"))
+
+    def sizes(self, pattern: str, kind: str) -> DataFrame:
+        """LLEN or SCARD for every key that matches: (key, reply)."""
+        return self._of_kind(pattern, kind).select("key", F.size("items").cast("long").alias("reply"))
+
+    def members(self, pattern: str) -> DataFrame:
+        """SMEMBERS for every set whose key matches, a row for each: (key, reply)."""
+        return self._of_kind(pattern, "set").select("key", F.explode("items").alias("reply"))
+
+    def is_member(self, pattern: str, member: str) -> DataFrame:
+        """SISMEMBER for every set whose key matches: (key, reply)."""
+        return self._of_kind(pattern, "set").select("key", F.array_contains("items", member).alias("reply"))
+
+    def _of_kind(self, pattern: str, kind: str) -> DataFrame:
+        return self.rows(pattern).where(F.col("kind") == kind)
+
+    def add_many(self, given: DataFrame) -> DataFrame:
+        """SADD for every key; reply: how many members are new."""
+        items, union = F.col("items"), F.array_union("items", "values")
+        return self._change(given, "set", union, (F.size(union) - F.size(items)).cast("long"))
+
+    def remove_many(self, given: DataFrame) -> DataFrame:
+        """SREM for every key; reply: how many members went."""
+        items, rest = F.col("items"), F.array_except("items", "values")
+        return self._change(given, "set", rest, (F.size(items) - F.size(rest)).cast("long"))
+
+    def set_many(self, given: DataFrame, kind: str = "bytes") -> None:
+        """SET (kind "json": JSON.SET) for every row (key, value); each key once."""
+
+        def action() -> None:
+            s = self.session
+            if kind == "json" and not given.where(F.try_parse_json("value").isNull()).isEmpty():
+                raise SqlError("not JSON")
+            if TABLE not in s.tables:
+                s.tables[TABLE] = dict(DEFINITION)
+            table = s.tables[TABLE]
+            seq = table.get("seq", 0) + 1
+            new = given.select("key", F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), F.col("value").cast("string"), F.lit(None).cast("array<string>").alias("items"))
+            s.tables[TABLE] = {**table, "folders": [*table["folders"], s.store.write(new)], "seq": seq}
+
+        self._in(action)
+
     # Documents as rows
 
     def documents(self, prefix: str) -> DataFrame | None:

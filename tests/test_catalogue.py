@@ -42,7 +42,9 @@ SAMPLE = [
     "flagship", "s2_eq_lookup", "s4_values", "p8_div", "p9_like", "p12_is_null", "p14_not_in", "p15_exists_corr", "p16_any_gt", "p16_any_eq", "p17_all_ne", "p17_all_le",
     "p18_scalar_select", "p19_correlated", "p21_cast_text", "p21_cast_bool", "j2_left", "j4_full", "j6_theta", "a2_count_null", "a8_null_group", "a11_global_empty", "a12_having",
     "o1_null_order", "o4_offset", "o5_distinct_on", "u4_except", "u5_intersect_all", "u6_order_before", "c1_chained", "c2_recursive_all", "c3_recursive_union", "f5_substring", "f11_date_part",
-    "d5_do_nothing", "d6_do_update", "d8_update_from", "d10_delete_using", "d12_returning", "l9_on_delete", "l10_on_update", "k24_rollback", "k8_lpush", "k14_sadd", "k15_srem",
+    "d5_do_nothing", "d6_do_update", "d8_update_from", "d10_delete_using", "d12_returning", "l9_on_delete", "l10_on_update", "k24_rollback", "k8_lpush", "k11_rpop", "k14_sadd", "k15_srem",
+    "u7_chained", "u7_chained_first", "d1_insert_many", "d8_update_ties", "l2_primary_key", "l5_check", "l8_foreign_key_insert", "l11_drop_table", "l17_drop_and_add", "l23_create_index", "p23_unknown_column",
+    "k4_keys", "k6_json_documents", "k26_isolation", "s8_s9_reopened", "s11_client", *catalogue.SCRIPTS,
 ]
 
 

@@ -15,11 +15,11 @@ def test_commands(spark, tmp_path, monkeypatch):
     kv.set("a", "1")
     kv.set("a", "2")
     assert kv.get("a") == "2"
-    assert kv.lpush("l", "a", "b") == 2 and kv.rpush("l", "c") == 3
-    assert kv.lrange("l", 0, -1) == ["b", "a", "c"] and kv.llen("l") == 3 and kv.lrange("l", -2, 9) == ["a", "c"]
-    assert kv.lpop("l") == "b" and kv.rpop("l", 5) == ["c", "a"] and kv.lpop("l") is None and kv.llen("l") == 0
-    assert kv.sadd("s", "a", "b", "c") == 3 and kv.sadd("s", "b", "d") == 1 and kv.scard("s") == 4
-    assert kv.srem("s", "a", "x") == 1 and kv.smembers("s") == ["b", "c", "d"] and kv.sismember("s", "b") == 1
+    assert kv.lpush("l", "oak", "elm") == 2 and kv.rpush("l", "fir") == 3
+    assert kv.lrange("l", 0, -1) == ["elm", "oak", "fir"] and kv.llen("l") == 3 and kv.lrange("l", -2, 9) == ["oak", "fir"]
+    assert kv.lpop("l") == "elm" and kv.rpop("l", 5) == ["fir", "oak"] and kv.lpop("l") is None and kv.llen("l") == 0
+    assert kv.sadd("s", "tin", "zinc", "lead") == 3 and kv.sadd("s", "zinc", "iron") == 1 and kv.scard("s") == 4
+    assert kv.srem("s", "tin", "gold") == 1 and kv.smembers("s") == ["iron", "lead", "zinc"] and kv.sismember("s", "lead") == 1
     with pytest.raises(WrongType):
         kv.lpush("s", "x")
     with pytest.raises(WrongType):
