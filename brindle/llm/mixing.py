@@ -14,8 +14,6 @@ TOTAL = 1.5
 EPOCHS = 2
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
-#: The mix's sources: one row of totals for each is held by the driver, so there must not be more.
-MAX_SOURCES = 100_000
 #: Budget that is left for the dynamic program, in words; a bit set of so many bits is a megabyte.
 PROGRAM_WORDS = 1 << 20
 #: Documents of one source and length that one task ranks; more are dealt to several buckets first.
@@ -26,29 +24,35 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, total=TOTAL, epochs=EPOCHS) -> dict[str | None, float]:
-    """Words to take from each source: shares of total * all words by weight, none above epochs * its size.
+def targets(sizes: DataFrame, weights=WEIGHTS, total=TOTAL, epochs=EPOCHS) -> DataFrame:
+    """(source, source_size, target) from rows (source, source_size): words to take from each source.
 
-    Sources get the weights in turn, in order of code points with null last. What is above a
-    source's limit is shared among the others by weight, again and again.
+    Shares of total * all words by weight, none above epochs * its source's size. Sources get the weights in turn, in order of code
+    points with null last: they are numbered within ranges of that order. What is above a source's limit is shared among
+    the others by weight, again and again; as a share only grows, each round is one sum over the sources beyond their limit.
     """
-    ordered = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(ordered)}
-    limit = {s: float(epochs * n) for s, n in ordered}
-    left = total * sum(n for _, n in ordered)
-    found: dict[str | None, float] = {}
-    open_ = [s for s, _ in ordered]
-    while open_:
-        unit = left / sum(weight[s] for s in open_)
-        above = [s for s in open_ if unit * weight[s] > limit[s]]
-        if not above:
-            found |= {s: unit * weight[s] for s in open_}
+    ranges = sizes.repartitionByRange(F.col("source").isNull(), "source").sortWithinPartitions(F.col("source").isNull(), "source")
+    ranges = written(ranges.withColumn("part", F.spark_partition_id()), "sources")
+    counts = sorted((r.part, r["count"]) for r in ranges.groupBy("part").count().collect())
+    offsets, before = [], 0
+    for part, n in counts:
+        offsets += [F.lit(part), F.lit(before)]
+        before += n
+    if not before:
+        return sizes.select("source", "source_size", F.lit(0.0).alias("target"))
+    place = F.create_map(*offsets)[F.col("part")] + F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").isNull(), "source")) - 1
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
+    limited = written(ranges.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * epochs).cast("double").alias("limit")), "limits")
+    whole = limited.agg(F.sum("source_size").alias("n"), F.sum("weight").alias("w")).first()
+    unit, closed = total * whole.n / whole.w, -1
+    while True:
+        above = limited.where(F.lit(unit) * F.col("weight") > F.col("limit")).agg(F.count("*").alias("n"), F.sum("limit").alias("l"), F.sum("weight").alias("w")).first()
+        if above.n in (closed, before):
             break
-        for s in above:
-            found[s] = limit[s]
-            left -= limit[s]
-        open_ = [s for s in open_ if s not in found]
-    return found
+        closed = above.n
+        unit = (total * whole.n - (above.l or 0.0)) / (whole.w - (above.w or 0.0))
+    share = F.lit(unit) * F.col("weight")
+    return limited.select("source", "source_size", F.when(share > F.col("limit"), F.col("limit")).otherwise(share).alias("target"))
 
 
 def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
@@ -121,22 +125,18 @@ def _program(lengths: list[int], spare: list[int], budget: int) -> dict[int, int
     return found
 
 
-PLAN = "source string, size long, n long, base long, extra long"
-
+PLAN = "source string, source_size long, target double, size long, n long, base long, extra long"
 
-def _plan(wanted: dict) -> object:
-    def plan(key, held):
-        held = held.sort_by("size")
-        lengths, counts = held["size"].to_pylist(), held["n"].to_pylist()
-        whole = sum(n * c for n, c in zip(lengths, counts, strict=True))
-        target = wanted.get(key[0].as_py(), 0.0)
-        base = int(target // whole) if whole else 0
-        extra = fit(lengths, counts, round(target) - base * whole)
-        return pa.table(
-            {"source": held["source"], "size": held["size"], "n": held["n"], "base": pa.array([base] * len(lengths), pa.int64()), "extra": pa.array(extra, pa.int64())}
-        )
 
-    return plan
+def _plan(key, held):
+    """How often each document of a source's lengths is taken, and how many of them once more."""
+    held = held.sort_by("size")
+    lengths, counts = held["size"].to_pylist(), held["n"].to_pylist()
+    whole, target = held["source_size"][0].as_py(), held["target"][0].as_py()
+    base = int(target // whole) if whole else 0
+    extra = fit(lengths, counts, round(target) - base * whole)
+    held = held.append_column("base", pa.array([base] * len(lengths), pa.int64())).append_column("extra", pa.array(extra, pa.int64()))
+    return held.select([f.split()[0] for f in PLAN.split(", ")])
 
 
 def shares(docs: DataFrame, size: str, source: str, order: str, *, weights=WEIGHTS, total=TOTAL, epochs=EPOCHS) -> DataFrame:
@@ -148,15 +148,11 @@ def shares(docs: DataFrame, size: str, source: str, order: str, *, weights=WEIGH
     BUCKET_ROWS are ranked in several buckets by ranges of the hash, each counted
     first. A null source is a source; documents without words are never taken.
     """
-    spark = docs.sparkSession
     counted = written(docs.groupBy(F.col(source).alias("source"), F.col(size).alias("size")).agg(F.count("*").alias("n")), "lengths")
-    totals = [(r.source, r.s or 0) for r in counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s")).limit(MAX_SOURCES + 1).collect()]
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    wanted = targets(totals, weights, total, epochs)
-    plan = written(counted.groupBy("source").applyInArrow(_plan(wanted), PLAN), "plan")
-    goals = spark.createDataFrame([(s, n, float(wanted[s])) for s, n in totals], "source string, source_size long, target double")
-    plan = plan.join(F.broadcast(goals), plan.source.eqNullSafe(goals.source)).drop(goals.source)
+    goals = targets(counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, total, epochs)
+    goals = goals.withColumnRenamed("source", "goal_source")
+    lengths = counted.join(goals, F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
+    plan = written(lengths.groupBy("source").applyInArrow(_plan, PLAN), "plan")
     buckets = F.ceil(F.col("n") / BUCKET_ROWS)
     unit = F.col(order).cast("double") / F.lit(2.0**64) + F.lit(0.5)
     planned = docs.join(

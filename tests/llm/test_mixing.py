@@ -43,10 +43,38 @@ def test_program_is_exact():
         assert sum(lengths[i] * k for i, k in found.items()) == brute_sum(lengths, counts, budget)
 
 
-def test_targets():
-    assert mixing.targets([("b", 10), ("a", 10), (None, 10)]) == {"a": 20.0, "b": 25 / 3, None: 50 / 3}
-    assert mixing.targets([("a", 0)]) == {"a": 0.0}
-    assert mixing.targets([]) == {}
+def plain_targets(sizes, weights=(3, 1, 2), total=1.5, most=2):
+    """Water is poured by weight; full sources give what runs over to the others."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    got, weight = dict.fromkeys(order, 0.0), {s: weights[i % 3] for i, s in enumerate(order)}
+    left = total * sum(sizes.values())
+    while left > 1e-9:
+        thirsty = [s for s in order if got[s] < most * sizes[s] - 1e-9]
+        if not thirsty:
+            break
+        unit = left / sum(weight[s] for s in thirsty)
+        for s in thirsty:
+            drunk = min(unit * weight[s], most * sizes[s] - got[s])
+            got[s] += drunk
+            left -= drunk
+    return got
+
+
+def test_targets_against_a_plain_loop(spark):
+    rng = random.Random(3)
+
+    def found(sizes, **options):
+        df = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(3)
+        rows = mixing.targets(df, **options).collect()
+        assert {r.source: r.source_size for r in rows} == sizes
+        return {r.source: r.target for r in rows}
+
+    assert found({"b": 10, "a": 10, None: 10}) == pytest.approx({"a": 20.0, "b": 25 / 3, None: 50 / 3})
+    assert found({"a": 0}) == {"a": 0.0} and found({}) == {}
+    for n in (2, 7, 60):
+        sizes = {rng.choice("aBé") + str(i): int(10 ** rng.uniform(0, 5)) for i in range(n)} | {None: 50, "": 0}
+        assert found(sizes) == pytest.approx(plain_targets(sizes))
+    assert found({"a": 5, "b": 9}, total=9.0) == {"a": 10.0, "b": 18.0}
 
 
 def rows():
@@ -67,7 +95,7 @@ def test_sources_meet_their_targets(spark, monkeypatch, bucket):
         sizes[r.source] += r.size
         taken[r.source] += r.size * r.times
         goal[r.source] = r.target
-    assert goal == pytest.approx(mixing.targets(list(sizes.items())))
+    assert goal == pytest.approx(plain_targets(sizes))
     assert all(abs(taken[s] - goal[s]) <= 3 for s in goal if s != "B") and abs(taken["B"] - goal["B"]) <= 5000
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(3)).collect()))
 
