@@ -87,11 +87,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-ANCHOR = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("key", "ctx", "pos")]))
+ANCHOR = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("key", "ctx", "ctx2", "pos")]))
 
 
 def _anchors_of(length: int, gram: int):
-    digest = xxhash.xxh64_intdigest
+    digest, wide = xxhash.xxh64_intdigest, xxhash.xxh3_128_digest
 
     @F.arrow_udf(ANCHOR)
     def of(texts: pa.Array) -> pa.Array:
@@ -101,11 +101,12 @@ def _anchors_of(length: int, gram: int):
             for p in anchors(data, length, gram).tolist():
                 left = max(0, p - length + gram)
                 keys.append(digest(data[p : p + gram]))
-                contexts.append(digest(data[left : p + length], p - left))
+                contexts.append(wide(data[left : p + length], p - left))
                 places.append(p)
             offsets.append(len(keys))
-        cells = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, contexts, places)]
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(cells, ["key", "ctx", "pos"]))
+        both = np.frombuffer(b"".join(contexts), np.int64).reshape(-1, 2)
+        cells = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.array(places, np.int64))]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(cells, ["key", "ctx", "ctx2", "pos"]))
 
     return of.asNondeterministic()
 
@@ -301,21 +302,25 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     what copies of whole texts share must be added. Stretches of a cls may overlap.
     """
     left = length - gram
-    found = written(texts.select("cls", F.explode(_anchors_of(length, gram)("text")).alias("a")).select("a.key", "a.ctx", "cls", F.col("a.pos").cast("int").alias("pos")), "anchors")
+    found = written(texts.select("cls", F.explode(_anchors_of(length, gram)("text")).alias("a")).select("a.key", "a.ctx", "a.ctx2", "cls", F.col("a.pos").cast("int").alias("pos")), "anchors")
     place = F.xxhash64("cls", "pos")
-    keys = found.groupBy("key").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.min("ctx").alias("c"), F.max("ctx").alias("d"))
-    keys = keys.where("p <> q").select("key", (F.col("c") == F.col("d")).alias("alike"))
-    # Anchors that occur at two places. Copies of a text give equal rows.
-    again = written(found.join(keys, "key").distinct(), "repeated")
+    keys = found.groupBy("key").agg(
+        F.min(place).alias("p"), F.max(place).alias("q"), F.min("ctx").alias("c"), F.max("ctx").alias("d"), F.min("ctx2").alias("c2"), F.max("ctx2").alias("d2")
+    )
+    keys = written(keys.where("p <> q").select("key", ((F.col("c") == F.col("d")) & (F.col("c2") == F.col("d2"))).alias("alike")), "keys")
+    # Anchors that occur at two places. The join is written first, so that it can split the rows of a frequent anchor.
+    met = written(found.join(keys, "key"), "met")
     drop_table(found)
-    texts.sparkSession._jvm.System.gc()
+    # Copies of a text give equal rows.
+    again = written(met.distinct(), "repeated")
+    drop_table(met)
     mixed = again.where("not alike")
-    counts = mixed.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("cls", "pos")).alias("one"))
+    counts = mixed.groupBy("key", "ctx", "ctx2").agg(F.count("*").alias("n"), F.min(F.struct("cls", "pos")).alias("one"))
     counts = written(counts, "contexts")
     begin = F.greatest(F.col("pos") - left, F.lit(0)).cast("long")
     whole = (F.col("pos") + length).cast("long")
     equal = again.where("alike").select("cls", begin.alias("begin"), whole.alias("end"))
-    equal = equal.unionAll(mixed.join(counts.where("n > 1").select("key", "ctx"), ["key", "ctx"]).select("cls", begin.alias("begin"), whole.alias("end")))
+    equal = equal.unionAll(mixed.join(counts.where("n > 1").select("key", "ctx", "ctx2"), ["key", "ctx", "ctx2"]).select("cls", begin.alias("begin"), whole.alias("end")))
     # One context of each kind is cut from its text, to be sorted with the others of its anchor.
     wanted = counts.select("one.cls", F.struct("key", "one.pos").alias("w")).groupBy("cls").agg(F.collect_list("w").alias("wanted"))
     one_text = texts.join(wanted, "cls").groupBy("cls").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
@@ -386,13 +391,19 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", into: str = "removed
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else, in the same text
     or another; strings are judged on the input and never cross texts. A null text is empty. Rows of equal texts are
     copies of each other, and lose everything if they have ``length`` bytes. All rows and columns stay;
-    ``into`` must be free. An empty table stays empty. Texts are told apart by XXH64.
+    a column called ``into`` (in any case) is an error. An empty table stays empty. Texts are told apart by XXH64; should
+    two texts ever have the same, a second hash tells, and that is an error. Contexts are told apart by 128 bits.
     """
+    if into.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"column '{into}' exists")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     cls = F.xxhash64(text)
     long = docs.select(cls.alias("cls"), text.alias("text")).where(F.octet_length("text") >= length)
     spans = repeated_spans(long, length, gram).groupBy("cls").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
-    copies = long.groupBy("cls").agg(F.count("*").alias("n")).select("cls", (F.col("n") > 1).alias("copied"))
+    other = F.xxhash64("text", F.lit(length))
+    copies = long.groupBy("cls").agg(F.count("*").alias("n"), F.min(other).alias("a"), F.max(other).alias("b"))
+    one = F.when(F.col("a") == F.col("b"), F.col("n") > 1).otherwise(F.raise_error(F.lit("two texts have one hash")).cast("boolean"))
+    copies = copies.select("cls", one.alias("copied"))
     facts = written(copies.join(spans, "cls", "left").where("copied or begins is not null").withColumnRenamed("cls", f"{into}_cls"), "spans")
     joined = docs.join(facts, cls == facts[f"{into}_cls"], "left")
     out = joined.withColumn(into, _cut_out(length, with_bytes)(text, facts["begins"], facts["ends"], F.coalesce(facts["copied"], F.lit(False))))
