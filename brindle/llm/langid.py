@@ -156,8 +156,11 @@ def identify(docs: DataFrame, filters: Filters, text_col: str, into: str = "lang
     """docs with one more struct column: language and score (0 to 1) of each whole text.
 
     ``und`` for a null text or one without letters; a text none of whose n-grams is known gets the
-    commonest language and score 0. All rows and columns stay; ``into`` must be free.
+    commonest language and score 0. Of languages with equal counts the first by name is taken. All rows and columns
+    stay; a column called ``into`` (in any case) is an error.
     """
+    if into.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"column '{into}' exists")
 
     @F.arrow_udf(ANSWER)
     def of(texts: pa.Array) -> pa.Array:

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from brindle.llm.common import table
 
@@ -224,10 +225,10 @@ def pack(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, *, window:
     offset in the sequence and, with_ids, the ids themselves (4 bytes each, little-endian). A
     document's whole windows stand alone; what is left of the documents of a task is packed, some
     BATCH_WINDOWS windows at a time. A null or empty text is the end id alone; repeated rows are packed
-    as often as they occur; an empty table gives no pieces; other columns are not read.
+    as often as they occur; ids may be of any type; an empty table gives no pieces; other columns are not read.
     """
     kind = docs.schema[id_col].dataType
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
+    id_type = to_arrow_type(kind, timestamp_utc=True)
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = f"id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     schema += ", ids binary" if with_ids else ""

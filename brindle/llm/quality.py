@@ -32,7 +32,7 @@ BOILERPLATE = (
     "click here to",
     "powered by",
 )
-TERMINAL = ".!?…\"'”’»:;)]。！？"
+TERMINAL = ".!?…\"'”’»:;)]。！？।॥؟۔"
 NAV_MARKS = "|»›•"
 SYMBOLS = b"#*$%&|<>"
 SHOUT_WORDS = 5
@@ -148,8 +148,10 @@ def quality(docs: DataFrame, text_col: str = "text", into: str = "quality") -> D
     """docs with one more struct column (SCHEMA): the figures, the verdict and the cleaned text.
 
     A null or empty text has no words and fails the base rules; repeated rows get equal
-    verdicts; an empty table stays empty; every column of docs is kept (``into`` must be free).
+    verdicts; an empty table stays empty; every column of docs is kept, and one called ``into`` (in any case) is an error.
     """
+    if into.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"column '{into}' exists")
     return docs.withColumn(into, _judged.asNondeterministic()(F.col(f"`{text_col}`").cast("string")))
 
 

@@ -49,3 +49,27 @@ def test_odd_texts(spark):
     empty = langid.learn(train.limit(0), "doc_id", "text", "lang")
     assert {r.lang_id.language for r in langid.identify(df, empty, "text").collect()} == {"und"}
     assert langid.identify(df.limit(0), filters, "text").count() == 0
+
+
+def test_ties_take_the_first_name():
+    texts = [" ".join("abcdefgh"[i % 8] * 3 for i in range(j, j + 9)) for j in range(5)]
+    own = [int(g) for t in texts for found in langid.grams(t) for g in found]
+    for names in ("xy", "yx"):
+        filters = langid.Filters.build({k: own for k in names}, dict.fromkeys(names, 1))
+        assert filters.languages == ["x", "y"] and all(filters.predict(t)[0] == "x" for t in texts)
+
+
+def test_predictions_against_plain_sets(spark):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.learn(df, "doc_id", "text", "lang")
+    # All documents are learned from, so that the sets are known: the commonest grams of each language, ties by value.
+    seen = {k: {} for k in WORDS}
+    for _, text, lang in rows:
+        for found in langid.grams(text):
+            for g in found.tolist():
+                seen[lang][g] = seen[lang].get(g, 0) + 1
+    sets = {k: set(sorted(v, key=lambda g: (-v[g], g))[: langid.LANGUAGE_GRAMS]) for k, v in seen.items()}
+    for _, text in [(i, t) for i, t, _ in corpus(60, 9)]:
+        counts = {k: sum(g in s for found in langid.grams(text) for g in found.tolist()) for k, s in sets.items()}
+        assert filters.predict(text)[0] == max(sorted(counts), key=counts.get)
