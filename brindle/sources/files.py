@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local one only where it is unset, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir); a local one only where it is unset and the master is local, as in tests."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="brindle-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
