@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -197,6 +197,8 @@ def prefix(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray, similarit
 
 
 _SETS = pa.struct([("node", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+_COMPARED = pa.struct([("similar", pa.bool_()), ("gone", pa.list_(pa.int64())), ("come", pa.list_(pa.int64()))])
+_COMPARED_TYPE = T.StructType([T.StructField("similar", T.BooleanType()), *(T.StructField(x, T.ArrayType(T.LongType())) for x in ("gone", "come"))])
 _SETS_TYPE = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
 
 
@@ -240,39 +242,68 @@ def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], len(rows) - order
 
 
-def _jaccard(similarity: float):
-    @F.arrow_udf(T.BooleanType())
+def _compared(similarity: float):
+    """similar: whether two sets are this similar. gone, come: what the first, the second has alone, where they share half of the second."""
+
+    @F.arrow_udf(_COMPARED_TYPE)
     def of(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
         for a, b in zip(left, right, strict=True):
             a, b = (np.frombuffer(x.as_py(), np.uint64) for x in (a, b))
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
-        return pa.array(out, pa.bool_())
+            both = np.intersect1d(a, b, assume_unique=True)
+            row = {"similar": len(both) >= similarity * (len(a) + len(b) - len(both)) - 1e-9, "gone": None, "come": None}
+            if 2 * len(both) >= len(b):
+                row["gone"], row["come"] = (np.setdiff1d(x, both, assume_unique=True).view(np.int64) for x in (a, b))
+            out.append(row)
+        return pa.array(out, _COMPARED)
 
     return of.asNondeterministic()
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, prints: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of pairs (a, b) of nodes whose sets of shingles are this similar."""
+def _compare(pairs: DataFrame, texts: DataFrame, prints: DataFrame, width: int, similarity: float) -> DataFrame:
+    """pairs (a, b) of nodes with what _compared() tells of their sets of shingles."""
     needed = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
     digests = prints.groupBy("node").agg(F.min("digest").alias("digest")).join(needed, "node")
     one_text = texts.join(digests, "digest").dropDuplicates(["node"])
     sets = written(one_text.select("node", _shingle_sets(F.col("text"), width).alias("shingles")), "sets")
     left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    found = pairs.join(left, "a").join(right, "b").where(_jaccard(similarity)("sa", "sb")).select("a", "b")
-    found = written(found, "similar")
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", _compared(similarity)("sa", "sb").alias("c")).select("a", "b", "c.*")
+    found = written(found.where("similar or gone is not null"), "compared")
     drop_table(sets)
     return found
 
 
+def _pairs_by_differences(near: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes that can be this similar and whose components differ, of those compared with one pivot p.
+
+    near: p, node, n (shingles), component, and gone and come, the node's differences from p. Two sets differ from each other by
+    what only one of their sets of differences has. So similar ones share most of their differences (or are both linked to p), and
+    one of the first of them, the rarest first: a prefix join on differences, which the many shingles of p itself do not enter.
+    """
+    apart = (1 - similarity) / (1 + similarity)
+    groups = near.groupBy("p").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("p")
+    several = near.join(groups, "p").withColumn("d", F.size("gone") + F.size("come")).select("p", "node", "n", "component", "d", F.explode(F.array(F.struct(F.lit(True).alias("out"), F.col("gone").alias("t")), F.struct(F.lit(False).alias("out"), F.col("come").alias("t")))).alias("s"))
+    each = written(several.select("p", "node", "n", "component", "d", F.col("s.out").alias("out"), F.explode("s.t").alias("token")), "differences")
+    key = ["p", "token", "out"]
+    common = each.join(each.groupBy(*key).agg(F.count("*").alias("f")).where("f > 1"), key)
+    of_node = Window.partitionBy("p", "node")
+    place = F.col("d") - F.count("*").over(of_node) + F.row_number().over(of_node.orderBy("f", "out", "token")) - 1
+    first = written(common.withColumn("place", place).where(F.col("place") <= F.lit((1 - similarity) / similarity) * F.col("n") + 1e-9).drop("f"), "firsts")
+    other = first.select(*key, F.col("node").alias("b"), F.col("n").alias("m"), F.col("d").alias("e"), F.col("place").alias("at"), F.col("component").alias("of"))
+    sizes = F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m") - 1e-9
+    rest = 2 * F.least(F.col("d") - F.col("place"), F.col("e") - F.col("at")) >= F.col("d") + F.col("e") - F.lit(apart) * (F.col("n") + F.col("m")) - 1e-9
+    pairs = first.join(other, key).where((F.col("node") < F.col("b")) & (F.col("component") != F.col("of")) & sizes & rest)
+    return pairs.select(F.col("node").alias("a"), "b").distinct()
+
+
 def _similar_labelled(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
     """id, digest and component of each row, by links between all texts whose sets of shingles reach a Jaccard similarity.
 
     A 64-bit fingerprint can't find these pairs: at 0.8 they differ in some 10 bits, too many for blocks. Exact instead: of one
     order of all shingles (common ones last), two such sets share one among their first fifth. Sets first meet the least one at
     each shared shingle; only pairs that this leaves in different components are compared each with each, so that a large group
-    of near copies costs a link for each member. Every link is checked on whole sets; none is missed.
+    of near copies costs a link for each member. Those that share half with the set they met are found by their differences from
+    it, the others by their prefixes. Every link is checked on whole sets; none is missed.
     """
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("digest"))
@@ -285,15 +316,21 @@ def _similar_labelled(docs: DataFrame, id_col: str, text_col: str, width: int, s
     sizes = F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m") - 1e-9
     least = again.groupBy("token").agg(F.min(F.struct("node", "n")).alias("o")).select("token", F.col("o.node").alias("a"), F.col("o.n").alias("m"))
     starts = written(again.join(least, "token").where((F.col("node") > F.col("a")) & sizes).select("a", F.col("node").alias("b")).distinct(), "pairs")
-    links = _similar(starts, texts, prints, width, similarity)
-    joined = again.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = joined.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("token")
-    left = written(joined.join(mixed, "token"), "mixed")
-    other = left.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("component").alias("of"))
+    compared = _compare(starts, texts, prints, width, similarity)
+    links = compared.where("similar").select("a", "b")
+    labels = components(links)
+    joined = again.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).join(least.select("token", F.col("a").alias("p")), "token")
+    mixed = joined.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+    near = compared.where("gone is not null").select(F.col("a").alias("p"), F.col("b").alias("node"), "gone", "come")
+    near = near.join(prints.select("node", "n").distinct(), "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    left = joined.where("node <> p").join(mixed, "token").join(near.select("p", "node", F.lit(True).alias("near")), ["p", "node"], "left")
+    left = written(left.withColumn("near", F.coalesce("near", F.lit(False))), "mixed")
+    other = left.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("component").alias("of"), F.col("near").alias("by"))
     rest = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) * (1 + similarity) >= F.lit(similarity) * (F.col("n") + F.col("m")) - 1e-9
-    pairs = left.join(other, "token").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("of")) & sizes & rest)
-    pairs = written(pairs.select(F.col("node").alias("a"), "b").distinct().join(starts, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionAll(_similar(pairs, texts, prints, width, similarity))
+    pairs = left.join(other, "token").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("of")) & ~(F.col("near") & F.col("by")) & sizes & rest)
+    pairs = pairs.select(F.col("node").alias("a"), "b").distinct().unionAll(_pairs_by_differences(near, similarity)).distinct()
+    pairs = written(pairs.join(starts, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionAll(_compare(pairs, texts, prints, width, similarity).where("similar").select("a", "b"))
     labels = components(links)
     return prints.select("id", "digest", "node").join(labels, "node", "left").select("id", "digest", F.coalesce("component", "node").alias("component"))
 

@@ -83,18 +83,7 @@ def test_keep_one_keeps_columns(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 9]
 
 
-def test_similar_against_brute_force(spark):
-    rng = random.Random(9)
-    some = lambda n: [f"w{rng.randrange(2000)}" for _ in range(n)]
-    line = some(40)
-    texts = [some(rng.randrange(1, 200)) for _ in range(40)] + [some(60) + line for _ in range(30)]
-    for _ in range(60):
-        near = rng.choice(texts).copy()
-        for _ in range(rng.randrange(1, 4)):
-            at = rng.randrange(len(near))
-            near[at : at + rng.randrange(2)] = some(rng.randrange(3))
-        texts.append(near)
-    rows = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(900, None), (901, ""), (902, texts[0][0].upper())]
+def check_similar(spark, rows):
     sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
     alike = lambda a, b: a == b or bool(a | b) and len(a & b) >= 0.8 * len(a | b) - 1e-9
     label = list(range(len(rows)))
@@ -109,6 +98,33 @@ def test_similar_against_brute_force(spark):
     assert got == want
 
 
+def test_similar_against_brute_force(spark):
+    rng = random.Random(9)
+    some = lambda n: [f"w{rng.randrange(2000)}" for _ in range(n)]
+    line = some(40)
+    texts = [some(rng.randrange(1, 200)) for _ in range(40)] + [some(60) + line for _ in range(30)]
+    for _ in range(60):
+        near = rng.choice(texts).copy()
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(near))
+            near[at : at + rng.randrange(2)] = some(rng.randrange(3))
+        texts.append(near)
+    check_similar(spark, [(i, " ".join(w)) for i, w in enumerate(texts)] + [(900, None), (901, ""), (902, texts[0][0].upper())])
+
+
+def test_near_copies_of_one_text_against_brute_force(spark):
+    rng = random.Random(4)
+    for length, edits, words in ((100, 5, 5), (100, 4, 1000), (60, 3, 2)):
+        base, texts = [f"b{k}" for k in range(length)], []
+        for _ in range(150):
+            near = base.copy()
+            for _ in range(rng.randrange(edits)):
+                at = rng.randrange(len(near))
+                near[at : at + rng.randrange(3)] = [f"e{rng.randrange(words)}" for _ in range(rng.randrange(3))]
+            texts.append(near)
+        check_similar(spark, [(i, " ".join(w)) for i, w in enumerate(texts)])
+
+
 def test_null_and_repeated_ids_keep_other_texts(spark):
     texts = ["one two three four five six", "quite other words stand in here", "and a third text of its own", "the fourth is not like them"]
     rows = list(zip([None, None, 7, 7], texts, strict=True)) + [(None, texts[0]), (7, texts[2])]
