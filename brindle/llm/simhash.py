@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,9 @@ NEAR_SIMILARITY = 0.8
 #: Shingles known as common are ordered last; found in one text of COMMON_SHARE, COMMON_MOST at most. They only save time.
 COMMON_SHARE = 16
 COMMON_MOST = 1 << 16
+#: Least longs of a set's parities, and most that go along while pairs are joined (longer ones are asked afterwards).
+PARITY_LEAST = 8
+PARITY_JOINED = 32
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -43,9 +46,8 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.array(found, dtype=np.uint64)
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """Bit k is set if it is set in over half the shingle hashes; 0 for a text without words."""
-    hashes = shingle_hashes(text, width)
+def simhash(hashes: np.ndarray) -> int:
+    """Bit k is set if it is set in over half the hashes; 0 if there are none."""
     if not len(hashes):
         return 0
     ones = np.zeros(BITS, np.int64)
@@ -55,6 +57,11 @@ def fingerprint(text: str | None, width: int) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, width: int) -> int:
+    """SimHash of the text's shingles; 0 for a text without words."""
+    return simhash(shingle_hashes(text, width))
+
+
 def fingerprints(text: Column, width: int) -> Column:
     """The fingerprint of a text column as a signed long."""
 
@@ -196,10 +203,34 @@ def prefix(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray, similarit
     return shingles[np.lexsort((shingles, place))][: len(shingles) - shared_least(len(shingles), similarity) + 1]
 
 
-_SETS = pa.struct([("node", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64()))])
-_COMPARED = pa.struct([("similar", pa.bool_()), ("gone", pa.list_(pa.int64())), ("come", pa.list_(pa.int64()))])
-_COMPARED_TYPE = T.StructType([T.StructField("similar", T.BooleanType()), *(T.StructField(x, T.ArrayType(T.LongType())) for x in ("gone", "come"))])
-_SETS_TYPE = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Bit k tells whether an odd number of the set's shingles fall to k; two sets differ in as many shingles as bits, at least.
+
+    At least two bits a shingle, in a power of 2 of longs; the upper half folds onto the lower by XOR.
+    """
+    longs = max(PARITY_LEAST, 1 << max(0, math.ceil(len(shingles) / 32) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _may_be_similar(n: Column, m: Column, left: Column, right: Column, similarity: float) -> Column:
+    """Whether sets of n and m shingles with these parities can reach the similarity; so if one's parities are null.
+
+    No similar pair fails: it differs in (1 - similarity) / (1 + similarity) of its shingles at most, and its parities in no more bits.
+    """
+    sizes = F.least(n, m) >= F.lit(similarity) * F.greatest(n, m) - 1e-9
+    longs = F.least(F.size(left), F.size(right))
+
+    def folded(x: Column) -> Column:
+        halves = F.zip_with(F.slice(x, 1, longs), F.slice(x, longs + 1, longs), lambda y, z: y.bitwiseXOR(z))
+        return F.when(F.size(x) == 2 * longs, halves).otherwise(x)
+
+    bits = F.aggregate(F.zip_with(folded(left), folded(right), lambda y, z: F.bit_count(y.bitwiseXOR(z))), F.lit(0), lambda y, z: y + F.coalesce(z, F.lit(0)))
+    return sizes & F.coalesce(bits <= F.lit((1 - similarity) / (1 + similarity)) * (n + m) + 1e-9, F.lit(True))
+
+
+_SETS = pa.struct([("node", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("parity", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
+_SETS_TYPE = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), *(T.StructField(x, T.ArrayType(T.LongType())) for x in ("parity", "tokens"))])
 
 
 def _shingle_sets(text: Column, width: int) -> Column:
@@ -213,7 +244,7 @@ def _shingle_sets(text: Column, width: int) -> Column:
 
 
 def _prefixes(text: Column, width: int, similarity: float, common: np.ndarray, rank: np.ndarray) -> Column:
-    """(node, n, tokens): digest, size and prefix of a text's set of shingles."""
+    """(node, n, fp, parity, tokens): digest, size, SimHash, parities and prefix of a text's set of shingles."""
 
     @F.arrow_udf(_SETS_TYPE)
     def of(texts: pa.Array) -> pa.Array:
@@ -221,7 +252,8 @@ def _prefixes(text: Column, width: int, similarity: float, common: np.ndarray, r
         for t in texts:
             found = np.unique(shingle_hashes(t.as_py(), width))
             node = int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
-            out.append({"node": node, "n": len(found), "tokens": prefix(found, common, rank, similarity).view(np.int64)})
+            first = prefix(found, common, rank, similarity).view(np.int64)
+            out.append({"node": node, "n": len(found), "fp": _signed(simhash(found)), "parity": parities(found), "tokens": first})
         return pa.array(out, _SETS)
 
     return of.asNondeterministic()(text)
@@ -242,96 +274,71 @@ def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], len(rows) - order
 
 
-def _compared(similarity: float):
-    """similar: whether two sets are this similar. gone, come: what the first, the second has alone, where they share half of the second."""
+def _similar(similarity: float):
+    """Whether two sets are this similar."""
 
-    @F.arrow_udf(_COMPARED_TYPE)
+    @F.arrow_udf(T.BooleanType())
     def of(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
         for a, b in zip(left, right, strict=True):
             a, b = (np.frombuffer(x.as_py(), np.uint64) for x in (a, b))
-            both = np.intersect1d(a, b, assume_unique=True)
-            row = {"similar": len(both) >= similarity * (len(a) + len(b) - len(both)) - 1e-9, "gone": None, "come": None}
-            if 2 * len(both) >= len(b):
-                row["gone"], row["come"] = (np.setdiff1d(x, both, assume_unique=True).view(np.int64) for x in (a, b))
-            out.append(row)
-        return pa.array(out, _COMPARED)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            out.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
+        return pa.array(out, pa.bool_())
 
     return of.asNondeterministic()
 
 
-def _compare(pairs: DataFrame, texts: DataFrame, prints: DataFrame, width: int, similarity: float) -> DataFrame:
-    """pairs (a, b) of nodes with what _compared() tells of their sets of shingles."""
-    needed = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-    digests = prints.groupBy("node").agg(F.min("digest").alias("digest")).join(needed, "node")
-    one_text = texts.join(digests, "digest").dropDuplicates(["node"])
+def _similar_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) of nodes whose sets of shingles are this similar. Only sets that parities don't tell apart are moved."""
+    a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}")) for x in "ab")
+    open_ = pairs.join(a, "a").join(b, "b").where(_may_be_similar(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb"), similarity))
+    open_ = written(open_.select("a", "b"), "open")
+    needed = open_.select(F.col("a").alias("node")).unionAll(open_.select("b")).distinct()
+    one_text = texts.join(nodes.select("node", "digest").join(needed, "node"), "digest").dropDuplicates(["node"])
     sets = written(one_text.select("node", _shingle_sets(F.col("text"), width).alias("shingles")), "sets")
     left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    found = pairs.join(left, "a").join(right, "b").select("a", "b", _compared(similarity)("sa", "sb").alias("c")).select("a", "b", "c.*")
-    found = written(found.where("similar or gone is not null"), "compared")
+    found = written(open_.join(left, "a").join(right, "b").where(_similar(similarity)("sa", "sb")).select("a", "b"), "similar")
+    drop_table(open_)
     drop_table(sets)
     return found
 
 
-def _pairs_by_differences(near: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes that can be this similar and whose components differ, of those compared with one pivot p.
-
-    near: p, node, n (shingles), component, and gone and come, the node's differences from p. Two sets differ from each other by
-    what only one of their sets of differences has. So similar ones share most of their differences (or are both linked to p), and
-    one of the first of them, the rarest first: a prefix join on differences, which the many shingles of p itself do not enter.
-    """
-    apart = (1 - similarity) / (1 + similarity)
-    groups = near.groupBy("p").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("p")
-    several = near.join(groups, "p").withColumn("d", F.size("gone") + F.size("come")).select("p", "node", "n", "component", "d", F.explode(F.array(F.struct(F.lit(True).alias("out"), F.col("gone").alias("t")), F.struct(F.lit(False).alias("out"), F.col("come").alias("t")))).alias("s"))
-    each = written(several.select("p", "node", "n", "component", "d", F.col("s.out").alias("out"), F.explode("s.t").alias("token")), "differences")
-    key = ["p", "token", "out"]
-    common = each.join(each.groupBy(*key).agg(F.count("*").alias("f")).where("f > 1"), key)
-    of_node = Window.partitionBy("p", "node")
-    place = F.col("d") - F.count("*").over(of_node) + F.row_number().over(of_node.orderBy("f", "out", "token")) - 1
-    first = written(common.withColumn("place", place).where(F.col("place") <= F.lit((1 - similarity) / similarity) * F.col("n") + 1e-9).drop("f"), "firsts")
-    other = first.select(*key, F.col("node").alias("b"), F.col("n").alias("m"), F.col("d").alias("e"), F.col("place").alias("at"), F.col("component").alias("of"))
-    sizes = F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m") - 1e-9
-    rest = 2 * F.least(F.col("d") - F.col("place"), F.col("e") - F.col("at")) >= F.col("d") + F.col("e") - F.lit(apart) * (F.col("n") + F.col("m")) - 1e-9
-    pairs = first.join(other, key).where((F.col("node") < F.col("b")) & (F.col("component") != F.col("of")) & sizes & rest)
-    return pairs.select(F.col("node").alias("a"), "b").distinct()
-
-
 def _similar_labelled(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
     """id, digest and component of each row, by links between all texts whose sets of shingles reach a Jaccard similarity.
 
-    A 64-bit fingerprint can't find these pairs: at 0.8 they differ in some 10 bits, too many for blocks. Exact instead: of one
-    order of all shingles (common ones last), two such sets share one among their first fifth. Sets first meet the least one at
-    each shared shingle; only pairs that this leaves in different components are compared each with each, so that a large group
-    of near copies costs a link for each member. Those that share half with the set they met are found by their differences from
-    it, the others by their prefixes. Every link is checked on whole sets; none is missed.
+    Exact: of one order of all shingles (common ones last), two such sets share one among their first fifth. Sets first meet the least one at each shared shingle; only pairs that this leaves in different
+    components meet each other, and of these only such as their parities don't tell apart. So a large group of near
+    copies costs a link for each member and the pairs that are similar or nearly so. Every link is checked on whole sets; none is missed.
     """
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("digest"))
     texts = rows.select("digest", "text")
     found = rows.select("id", "digest", _prefixes(F.col("text"), width, similarity, *_common(texts, width)).alias("s"))
     prints = written(found.select("id", "digest", "s.*"), "prints")
+    nodes = written(prints.select("node", "digest", "n", "fp", "parity").dropDuplicates(["node"]), "nodes")
     tokens = prints.select("node", "n", F.posexplode("tokens").alias("place", "token"))
     shared = tokens.groupBy("token").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p <> q").select("token")
     again = written(tokens.join(shared, "token").distinct(), "tokens")
     sizes = F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m") - 1e-9
     least = again.groupBy("token").agg(F.min(F.struct("node", "n")).alias("o")).select("token", F.col("o.node").alias("a"), F.col("o.n").alias("m"))
-    starts = written(again.join(least, "token").where((F.col("node") > F.col("a")) & sizes).select("a", F.col("node").alias("b")).distinct(), "pairs")
-    compared = _compare(starts, texts, prints, width, similarity)
-    links = compared.where("similar").select("a", "b")
-    labels = components(links)
-    joined = again.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).join(least.select("token", F.col("a").alias("p")), "token")
-    mixed = joined.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    near = compared.where("gone is not null").select(F.col("a").alias("p"), F.col("b").alias("node"), "gone", "come")
-    near = near.join(prints.select("node", "n").distinct(), "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    left = joined.where("node <> p").join(mixed, "token").join(near.select("p", "node", F.lit(True).alias("near")), ["p", "node"], "left")
-    left = written(left.withColumn("near", F.coalesce("near", F.lit(False))), "mixed")
-    other = left.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("component").alias("of"), F.col("near").alias("by"))
+    starts = again.join(least, "token").where((F.col("node") > F.col("a")) & sizes).select("a", F.col("node").alias("b"))
+    starts = written(starts.distinct(), "pairs")
+    links = _similar_pairs(starts, nodes, texts, width, similarity)
+    joined = again.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    joined = written(joined, "labelled")
+    drop_table(again)
+    mixed = joined.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("node").alias("p")).where("x <> y").select("token", "p")
+    left = joined.join(mixed, "token").where("node <> p").drop("p")
+    left = written(left.join(nodes.select("node", F.when(F.size("parity") <= PARITY_JOINED, F.col("parity")).alias("parity")), "node"), "mixed")
+    drop_table(joined)
+    other = left.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("component").alias("of"), F.col("parity").alias("by"))
     rest = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) * (1 + similarity) >= F.lit(similarity) * (F.col("n") + F.col("m")) - 1e-9
-    pairs = left.join(other, "token").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("of")) & ~(F.col("near") & F.col("by")) & sizes & rest)
-    pairs = pairs.select(F.col("node").alias("a"), "b").distinct().unionAll(_pairs_by_differences(near, similarity)).distinct()
-    pairs = written(pairs.join(starts, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionAll(_compare(pairs, texts, prints, width, similarity).where("similar").select("a", "b"))
-    labels = components(links)
+    apart = (F.col("node") < F.col("b")) & (F.col("component") != F.col("of"))
+    pairs = left.join(other, "token").where(apart & rest & _may_be_similar(F.col("n"), F.col("m"), F.col("parity"), F.col("by"), similarity))
+    pairs = written(pairs.select(F.col("node").alias("a"), "b").distinct().join(starts, ["a", "b"], "left_anti"), "pairs")
+    drop_table(left)
+    labels = components(links.unionAll(_similar_pairs(pairs, nodes, texts, width, similarity)))
     return prints.select("id", "digest", "node").join(labels, "node", "left").select("id", "digest", F.coalesce("component", "node").alias("component"))
 
 

@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import xxhash
 
 from brindle.llm import simhash
@@ -131,3 +132,31 @@ def test_null_and_repeated_ids_keep_other_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for keep in (simhash.keep_one, simhash.keep_one_similar):
         assert sorted(r.text for r in keep(df).collect()) == sorted(texts)
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 5, 60, 255, 256, 257, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for changed in (0, 1, n // 10, n // 4):
+            b = np.unique(np.concatenate([a[changed:], rng.integers(0, 1 << 63, changed // 2).astype(np.uint64)]))
+            x, y = sorted((simhash.parities(a), simhash.parities(b)), key=len)
+            y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+            differ = int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+            assert differ <= len(np.setxor1d(a, b)) <= 1.3 * differ + 8
+
+
+def test_pairs_of_a_large_group_are_few(spark, monkeypatch):
+    rng = random.Random(4)
+    base, rows = [f"b{k}" for k in range(150)], []
+    for i in range(300):
+        near = base.copy()
+        for at in rng.sample(range(5, 150, 7), rng.choice((1, 4, 4, 4))):
+            near[at] = f"e{rng.randrange(3)}"
+        rows.append((i, " ".join(near)))
+    made, whole = {}, simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, name: made.setdefault(name, []).append(t := whole(df, name)) or t)
+    monkeypatch.setattr(simhash, "drop_table", lambda df: None)
+    check = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.similar_classes(check, "doc_id", "text").count() == 300
+    assert sum(t.count() for t in made["pairs"]) < 2500
