@@ -23,6 +23,8 @@ SMALL_BUCKET = 64
 #: Near copies by Jaccard similarity: words in a shingle, and the similarity that makes a link.
 NEAR_WIDTH = 5
 NEAR_SIMILARITY = 0.8
+#: Bits up to which their fingerprints link first.
+PRINT_DISTANCE = 2
 #: Shingles known as common are ordered last; found in one text of COMMON_SHARE, COMMON_MOST at most. They only save time.
 COMMON_SHARE = 16
 COMMON_MOST = 1 << 16
@@ -304,10 +306,21 @@ def _similar_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width:
     return found
 
 
+def _print_pairs(nodes: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes that connect all whose SimHash is equal or as close as the distance: blocks, then bits."""
+    least = written(nodes.groupBy("fp").agg(F.min("node").alias("least")), "least_of_prints")
+    equal = nodes.join(least, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    close = near_links(least.select("fp"), distance).join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a")
+    close = close.join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    return equal.unionAll(close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 def _similar_labelled(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
     """id, digest and component of each row, by links between all texts whose sets of shingles reach a Jaccard similarity.
 
-    Exact: of one order of all shingles (common ones last), two such sets share one among their first fifth. Sets first meet the least one at each shared shingle; only pairs that this leaves in different
+    SimHash first: sets whose fingerprints are PRINT_DISTANCE bits apart, by blocks as in near_links(). At 0.8 fingerprints differ in some
+    10 bits, too many for blocks, so the rest is found exactly: of one order of all shingles (common ones last), two such sets share
+    one among their first fifth. Sets first meet the least one at each shared shingle; only pairs that this leaves in different
     components meet each other, and of these only such as their parities don't tell apart. So a large group of near
     copies costs a link for each member and the pairs that are similar or nearly so. Every link is checked on whole sets; none is missed.
     """
@@ -323,7 +336,7 @@ def _similar_labelled(docs: DataFrame, id_col: str, text_col: str, width: int, s
     sizes = F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m") - 1e-9
     least = again.groupBy("token").agg(F.min(F.struct("node", "n")).alias("o")).select("token", F.col("o.node").alias("a"), F.col("o.n").alias("m"))
     starts = again.join(least, "token").where((F.col("node") > F.col("a")) & sizes).select("a", F.col("node").alias("b"))
-    starts = written(starts.distinct(), "pairs")
+    starts = written(starts.unionAll(_print_pairs(nodes, PRINT_DISTANCE)).distinct(), "pairs")
     links = _similar_pairs(starts, nodes, texts, width, similarity)
     joined = again.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     joined = written(joined, "labelled")

@@ -146,6 +146,15 @@ def test_parities_bound_the_difference():
             assert differ <= len(np.setxor1d(a, b)) <= 1.3 * differ + 8
 
 
+def test_near_prints_are_paired(spark):
+    rng = random.Random(2)
+    texts = [[f"w{rng.randrange(9000)}" for _ in range(4000)] for _ in range(4)]
+    sets = [set(simhash.shingle_hashes(" ".join(t), 5).tolist()) for t in (*texts, [*texts[0], "end"], [*texts[1], "end"])]
+    fps = [simhash.simhash(np.array(sorted(s), np.uint64)) for s in sets]
+    nodes = spark.createDataFrame([(i, simhash._signed(f)) for i, f in enumerate(fps)] + [(9, simhash._signed(fps[2]))], "node long, fp long")
+    assert sorted((r.a, r.b) for r in simhash._print_pairs(nodes, 2).collect()) == [(0, 4), (1, 5), (2, 9)]
+
+
 def test_pairs_of_a_large_group_are_few(spark, monkeypatch):
     rng = random.Random(4)
     base, rows = [f"b{k}" for k in range(150)], []
