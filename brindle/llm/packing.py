@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from brindle.llm.common import table
+from brindle.llm.common import give_back, table
 
 TOKENIZER = "word_bpe_49k.json"
 WINDOW = 2048
@@ -216,6 +216,8 @@ def _packed(batches: Iterator, path: str, window: int, with_ids: bool, id_type:
             if waiting >= BATCH_WINDOWS * window or len(full) >= 4 * BATCH_WINDOWS:
                 yield from flush()
     yield from flush()
+    del words
+    give_back()
 
 
 def pack(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, *, window: int = WINDOW, with_ids: bool = True) -> DataFrame:

@@ -297,7 +297,8 @@ def _similar_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width:
     open_ = pairs.join(a, "a").join(b, "b").where(_may_be_similar(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb"), similarity))
     open_ = written(open_.select("a", "b"), "open")
     needed = open_.select(F.col("a").alias("node")).unionAll(open_.select("b")).distinct()
-    one_text = texts.join(nodes.select("node", "digest").join(needed, "node"), "digest").dropDuplicates(["node"])
+    # A node has one digest here: copies go where the join has put them, and texts are moved and sorted once.
+    one_text = texts.join(nodes.select("node", "digest").join(needed, "node"), "digest").dropDuplicates(["digest"])
     sets = written(one_text.select("node", _shingle_sets(F.col("text"), width).alias("shingles")), "sets")
     left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     found = written(open_.join(left, "a").join(right, "b").where(_similar(similarity)("sa", "sb")).select("a", "b"), "similar")
